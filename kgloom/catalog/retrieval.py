@@ -57,7 +57,7 @@ def entities_after_chain(fx):
 @query("G5_entities_one_hop", with_ctes("questions adj", """
 SELECT DISTINCT qid, q.topic_id AS node, pred, fwd, nbr_kind AS kind, nbr_value AS value, nbr_lang AS lang
 FROM questions q JOIN adj a ON q.topic_id = a.node
-WHERE concat(CASE WHEN fwd THEN '->' ELSE '<-' END, pred) = regexp_extract(sig, '^[^ ]+')"""))
+WHERE concat(CASE WHEN fwd THEN '->' ELSE '<-' END, pred) = split_part(sig, ' ', 1)"""))
 def entities_one_hop(fx):
     first = F.element_at("chain", 1)
     frontier = fx.chain_paths().select(
