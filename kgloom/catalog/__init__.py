@@ -11,7 +11,7 @@ from kgloom.catalog.fixtures import Fixture
 
 _REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
 _MODULES = (
-    "terms", "retrieval", "relations", "entities",
+    "terms", "retrieval", "relations", "entities", "memory",
 )
 
 
