@@ -11,7 +11,8 @@ from kgloom.catalog.fixtures import Fixture
 
 _REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
 _MODULES = (
-    "terms", "retrieval", "relations", "entities", "memory",
+    "terms", "retrieval", "relations", "entities", "memory", "evaluate", "cost",
+    "responses", "prompts", "chains", "methods", "sources",
 )
 
 
