@@ -23,6 +23,11 @@ def _list(text: Column) -> Column:
     return F.from_json(text, "array<string>", _LAX)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _valid(text: Column) -> Column:
     """One whole JSON value.  The parser ignores text after a value, so the
     text is wrapped in a list, which then must have exactly one element."""
@@ -121,20 +126,24 @@ def parse_relation_ranking(text: Column) -> Column:
 
 def parse_reasoning_decision(text: Column) -> Column:
     """struct<decision, answers>: decision in the closed set, else NULL."""
-    obj = extract_json_object(text)
-    decision = F.lower(F.trim(obj["decision"]))
-    return F.struct(F.when(decision.isin(*DECISIONS), decision).alias("decision"),
-                    list_field(obj["answer"]).alias("answers"))
+    def read(obj):
+        decision = F.lower(F.trim(obj["decision"]))
+        return F.struct(F.when(decision.isin(*DECISIONS), decision).alias("decision"),
+                        list_field(obj["answer"]).alias("answers"))
+
+    return let(extract_json_object(text), read)
 
 
 def parse_yes_no(text: Column) -> Column:
     """struct<decision, answers, warning> of a sufficiency check."""
-    obj = extract_json_object(text)
-    decision = F.lower(F.trim(obj["decision"]))
-    valid = F.coalesce(decision.isin("yes", "no"), F.lit(False))
-    return F.struct(
-        F.when(valid, decision).alias("decision"), list_field(obj["answer"]).alias("answers"),
-        F.when(obj.isNull(), "unreadable").when(~valid, "no decision").otherwise("").alias("warning"))
+    def read(obj):
+        decision = F.lower(F.trim(obj["decision"]))
+        valid = F.coalesce(decision.isin("yes", "no"), F.lit(False))
+        return F.struct(
+            F.when(valid, decision).alias("decision"), list_field(obj["answer"]).alias("answers"),
+            F.when(obj.isNull(), "unreadable").when(~valid, "no decision").otherwise("").alias("warning"))
+
+    return let(extract_json_object(text), read)
 
 
 def decision_to_action(decision: Column) -> Column:
@@ -184,31 +193,37 @@ def parse_sufficiency(text: Column) -> Column:
     obj = F.coalesce(
         extract_json_object(text, greedy=True),
         line_fields(text, {"A": "A", "R": "R", "sufficient": "Sufficient", "answer": "Answer", "reason": "Reason"}))
-    a, r = obj["A"], F.trim(obj["R"])
-    nested = F.when(a.startswith("{"), _map(a))
-    is_nested = nested.isNotNull()
-    answer = answer_text(F.when(is_nested, nested["Answer"]).otherwise(obj["Answer"]))
-    reason0 = F.coalesce(F.trim(obj["Reason"]), F.lit(""))
-    long_r = (reason0 == "") & (F.size(F.filter(F.split(r, r"\s+"), lambda w: w != "")) >= 4)
-    action = F.lower(F.trim(a)).isin("answer", "a")
-    stated = to_bool(F.when(is_nested, nested["Sufficient"]).otherwise(obj["Sufficient"]))
-    given = F.coalesce(stated, F.coalesce(action & ~is_nested, F.lit(False)))
-    veto = F.lower(answer).isin("null", "none") | answer.startswith("m.") | answer.startswith("['m.") | answer.startswith('["m.')
-    return F.struct(
-        (given & ~F.coalesce(veto, F.lit(False))).alias("sufficient"), answer.alias("answer"),
-        F.when(~is_nested & ~long_r, F.nullif(r, F.lit(""))).alias("retrieve_entity"),
-        F.when(is_nested, F.coalesce(r, F.lit(""))).when(F.coalesce(long_r, F.lit(False)), r).otherwise(reason0).alias("reason"))
+    def read(obj):
+        a, r = obj["A"], F.trim(obj["R"])
+        nested = F.when(a.startswith("{"), _map(a))
+        is_nested = nested.isNotNull()
+        answer = answer_text(F.when(is_nested, nested["Answer"]).otherwise(obj["Answer"]))
+        reason0 = F.coalesce(F.trim(obj["Reason"]), F.lit(""))
+        long_r = (reason0 == "") & (F.size(F.filter(F.split(r, r"\s+"), lambda w: w != "")) >= 4)
+        action = F.lower(F.trim(a)).isin("answer", "a")
+        stated = to_bool(F.when(is_nested, nested["Sufficient"]).otherwise(obj["Sufficient"]))
+        given = F.coalesce(stated, F.coalesce(action & ~is_nested, F.lit(False)))
+        veto = F.lower(answer).isin("null", "none") | answer.startswith("m.") | answer.startswith("['m.") | answer.startswith('["m.')
+        return F.struct(
+            (given & ~F.coalesce(veto, F.lit(False))).alias("sufficient"), answer.alias("answer"),
+            F.when(~is_nested & ~long_r, F.nullif(r, F.lit(""))).alias("retrieve_entity"),
+            F.when(is_nested, F.coalesce(r, F.lit(""))).when(F.coalesce(long_r, F.lit(False)), r).otherwise(reason0).alias("reason"))
+
+    return let(obj, read)
 
 
 def parse_reverse_decision(text: Column) -> Column:
     """struct<need_reverse, names, reason>; default is no re-visit."""
     obj = F.coalesce(extract_json_object(text, greedy=True),
                      line_fields(text, {k: k for k in ("need_reverse", "reverse_entity_names", "reason")}))
-    raw = obj["reverse_entity_names"]
-    names = F.when(raw.startswith("["), non_blank(_list(raw))).otherwise(non_blank(F.split(raw, r"[,;\n]")))
-    return F.struct(F.coalesce(to_bool(obj["need_reverse"]), F.lit(False)).alias("need_reverse"),
-                    F.coalesce(names, F.array().cast("array<string>")).alias("names"),
-                    F.coalesce(F.trim(obj["reason"]), F.lit("")).alias("reason"))
+    def read(obj):
+        raw = obj["reverse_entity_names"]
+        names = F.when(raw.startswith("["), non_blank(_list(raw))).otherwise(non_blank(F.split(raw, r"[,;\n]")))
+        return F.struct(F.coalesce(to_bool(obj["need_reverse"]), F.lit(False)).alias("need_reverse"),
+                        F.coalesce(names, F.array().cast("array<string>")).alias("names"),
+                        F.coalesce(F.trim(obj["reason"]), F.lit("")).alias("reason"))
+
+    return let(obj, read)
 
 
 def parse_subquestions(text: Column) -> Column:

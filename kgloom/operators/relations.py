@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.skew import attach_stats, first_per_group, top_per_group
+from kgloom.skew import first_per_group, top_per_group
 
 
 def prune_inverse_of_last_hop(cand: DataFrame) -> DataFrame:
@@ -115,3 +115,40 @@ def relation_prune(cand: DataFrame, ranking: DataFrame, keys: list[str], limit:
     before = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_before"))
     after = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_after"))
     return top.join(before, keys).join(after, keys)
+
+
+def prune_reply(ranking: Column, heads: Column, tails: Column, k: int, last: Column | None = None,
+                unique_names: Column | None = None, both_ways: bool = False) -> Column:
+    """The same pruning inside one row: a retrieval's lists and its reply.
+
+    ``ranking`` is array<struct<pos,text,rank,score>>, ``heads`` and ``tails``
+    the listed relation ids, ``last`` struct<id,fwd>.  Needs no shuffle, so the
+    searches use it; the list sizes are bounded by the relation cap.  Returns
+    array<struct<rank,rel,fwd,score>>.
+    """
+    order = F.array_sort(F.transform(ranking, lambda e: F.struct(
+        F.coalesce(valid_rank(e["rank"]), F.lit(2**31 - 1)).alias("o"), e["pos"].alias("pos"),
+        e["text"].alias("text"), clamp_score(e["score"]).alias("score"))))
+    listed = F.concat(heads, tails)
+
+    def resolve(e):
+        known = F.array_contains(listed, e["text"])
+        other = e["text"] if unique_names is None else F.coalesce(F.try_element_at(unique_names, e["text"]), e["text"])
+        rel = F.when(known, e["text"]).otherwise(other)
+        return F.struct(rel.alias("rel"), F.array_contains(heads, rel).alias("fwd"), e["score"].alias("score"))
+
+    resolved = F.filter(F.transform(order, resolve), lambda e: F.array_contains(listed, e["rel"]))
+    seen = F.transform(resolved, lambda e: e["rel"])
+    once = F.filter(resolved, lambda e, i: F.array_position(seen, e["rel"]) == i + 1)
+    if last is not None:
+        once = F.filter(once, lambda e: ~F.coalesce((e["rel"] == last["id"]) & (e["fwd"] != last["fwd"]), F.lit(False)))
+    kept = F.slice(once, 1, max(1, int(k)))
+    if both_ways:
+        def sides(e):
+            both = F.array_contains(heads, e["rel"]) & F.array_contains(tails, e["rel"])
+            mirror = F.struct(e["rel"].alias("rel"), (~e["fwd"]).alias("fwd"), e["score"].alias("score"))
+            return F.when(both, F.array(e, mirror)).otherwise(F.array(e))
+
+        kept = F.flatten(F.transform(kept, sides))
+    return F.transform(kept, lambda e, i: F.struct(
+        (i + 1).alias("rank"), e["rel"].alias("rel"), e["fwd"].alias("fwd"), e["score"].alias("score")))
