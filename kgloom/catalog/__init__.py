@@ -12,7 +12,7 @@ from kgloom.catalog.fixtures import Fixture
 _REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
 _MODULES = (
     "terms", "retrieval", "relations", "entities", "memory", "evaluate", "cost",
-    "responses", "sources", "methods",
+    "responses", "sources", "chains", "prompts", "methods",
 )
 
 

@@ -91,9 +91,9 @@ def read_step_logs(fx):
     steps = prepare.merge_step_history(*logs(fx))
     heads = steps.select("id").distinct()
     path = scratch(fx, "logs")
-    io.nested_details(heads, steps.drop("trace_id")).write.json(path)
+    io.nested_details(heads, steps.drop("trace_id")).write.option("maxRecordsPerFile", 1).json(path)
     first = F.get("step_history", F.lit(0))
-    read = fx.spark.read.schema(io.DETAILS).json(path)
+    read = io.read_step_logs(fx.spark, path)
     return read.select("id", F.size("step_history").cast("long").alias("n_steps"),
                        F.size(F.filter("step_history", lambda s: s["step_type"] == "llm")).cast("long").alias("n_model"),
                        F.md5(F.coalesce(first["sparql"], first["response"])).alias("first_digest"))
