@@ -11,8 +11,8 @@ from kgloom.functions import prompts as t
 @query("T1_render_template", with_ctes("questions", r"""
 SELECT qid, concat('Question: ', question, chr(10), 'Facts: ', topic_name, chr(10), 'Reply with the list of fitting names.') AS text FROM questions"""))
 def render_template(fx):
-    template = F.broadcast(t.template_table(fx.spark).where("step = 'prune_group'"))   # one row
-    return fx.questions.join(template).select("qid", t.render_template(
+    template = F.broadcast(t.template_table(fx.spark))    # one row per step
+    return fx.questions.withColumn("step", F.lit("prune_group")).join(template, "step").select("qid", t.render_template(
         F.col("template"), {"question": F.col("question"), "facts": F.col("topic_name")}).alias("text"))
 
 
