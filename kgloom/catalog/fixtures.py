@@ -53,8 +53,12 @@ class Fixture:
 
     def written(self, name: str) -> DataFrame:
         """A fixture relation written once per session and read back."""
+        return self.once(name, lambda: self.rel(name))
+
+    def once(self, name: str, make) -> DataFrame:
+        """A derived table, computed and written once per session."""
         if name not in self._written:
-            self._written[name] = staged(self.rel(name), name)
+            self._written[name] = staged(make(), name)
         return self._written[name]
 
     @cached_property

@@ -229,7 +229,7 @@ SELECT * FROM (SELECT *, lower(trim(name)) AS nk, row_number() OVER (PARTITION B
 SELECT qid, id, name, round(CASE WHEN sum(weight) OVER (PARTITION BY qid) > 0 THEN weight / sum(weight) OVER (PARTITION BY qid) ELSE 1.0 / count(*) OVER (PARTITION BY qid) END, 6) AS score FROM w WHERE nth = 1"""))
 def score_by_relevance_list(fx):
     """The score list of each reply is two entries short of eight."""
-    items = F.array_sort(F.collect_list(F.struct("idx", "name", "score")))
+    items = F.sort_array(F.collect_list(F.struct("idx", "name", "score")))
     replies = fx.rel("relevance_items").groupBy(*p.ROUND).agg(items.alias("i")).select(
         *p.ROUND, F.col("i.name").alias("names"), F.slice(F.col("i.score"), 1, 6).alias("scores"))
     out = p.score_by_relevance_list(groups(fx), replies, p.ROUND)

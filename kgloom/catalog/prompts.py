@@ -19,8 +19,8 @@ def render_template(fx):
 def lists(fx):
     """Head and tail relation lists per path; sizes follow the vocabulary."""
     found = candidates(fx).groupBy("path_id", "qid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("fwd"), F.col("rel")))).alias("heads"),
-        F.array_sort(F.collect_list(F.when(~F.col("fwd"), F.col("rel")))).alias("tails"))
+        F.sort_array(F.collect_list(F.when(F.col("fwd"), F.col("rel")))).alias("heads"),
+        F.sort_array(F.collect_list(F.when(~F.col("fwd"), F.col("rel")))).alias("tails"))
     chains = fx.chain_paths().withColumnRenamed("path_id", "qid").join(fx.questions.select("qid", "topic_name"), "qid")
     depth = F.when(F.col("path_id").endswith("|1"), 1).otherwise(0)
     return found.join(chains, "qid").withColumn("chain", F.slice("chain", F.lit(1), depth))
@@ -55,7 +55,7 @@ SELECT qid, concat(string_agg(gname, ', ' ORDER BY gname) FILTER (WHERE rn <= 5)
   CAST(max(n) AS INT) AS size_before, CAST(least(5, max(n)) AS INT) AS size_after FROM r GROUP BY qid"""))
 def candidate_text(fx):
     """Name lists here are one question's answers, as a prompt would hold them."""
-    names = fx.rel("gold").groupBy("qid").agg(F.array_sort(F.collect_list("gname")).alias("names"))
+    names = fx.rel("gold").groupBy("qid").agg(F.sort_array(F.collect_list("gname")).alias("names"))
     return names.select("qid", t.candidate_text(F.col("names"), 5).alias("c")).select("qid", "c.*")
 
 

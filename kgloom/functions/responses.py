@@ -82,45 +82,52 @@ def first_nonempty_attempt(responses: DataFrame, attempts: int = 3) -> DataFrame
 
 def parse_relation_ranking(text: Column) -> Column:
     """Ranked relations of a reply: array<struct<pos,text,rank,score>>."""
-    trimmed = F.trim(text)
-    framed = trimmed.startswith("[") | trimmed.startswith("{")
-    inner = F.coalesce(F.nullif(F.regexp_extract(trimmed, r"(?s)\{.*\}", 0), F.lit("")),
-                       F.regexp_extract(trimmed, r"(?s)\[.*\]", 0))
-    payload = F.when(framed, trimmed).otherwise(inner)
-    good = _valid(payload)
-    obj = F.when(good & payload.startswith("{"), _map(payload))
-    arr = F.when(good & payload.startswith("["), _list(payload))
-    ranked, scores = obj["relation_by_relevance"], _list(obj["relevance_score"])
+    none = F.lit(None).cast("string")
 
     def entry(t, rank, score):
         return F.struct(F.trim(t).alias("text"), rank.cast("string").alias("rank"), score.cast("string").alias("score"))
 
-    none = F.lit(None).cast("string")
+    def present(items):
+        return F.filter(items, lambda e: e["text"].isNotNull() & (e["text"] != ""))
+
+    def object_name(m):
+        return F.coalesce(m["relation"], m["relation_id"], m["id"])
+
+    def by_relevance(f):
+        def item(x, i):
+            name = (F.when(x.startswith("["), F.get(_list(x), F.lit(0)))
+                    .when(x.startswith("{"), let(_map(x), object_name)).otherwise(x))
+            return entry(name, none, F.get(f["scores"], i))
 
-    def ranked_item(x, i):
-        m = _map(x)
-        name = (F.when(x.startswith("["), F.get(_list(x), F.lit(0)))
-                .when(x.startswith("{"), F.coalesce(m["relation"], m["relation_id"], m["id"])).otherwise(x))
-        return entry(name, none, F.get(scores, i))
+        return F.when(f["ranked"].startswith("["), present(F.transform(_list(f["ranked"]), item))).otherwise(
+            present(F.array(entry(f["ranked"], none, F.get(f["scores"], F.lit(0))))))
 
-    def row_item(x):
-        m = _map(x)
-        other = F.filter(F.map_keys(m), lambda k: k != "rank")
+    def from_object(m):
+        fields = F.struct(m["relation_by_relevance"].alias("ranked"), _list(m["relevance_score"]).alias("scores"))
+        keys = F.transform(F.map_keys(m), lambda k: entry(k, none, none))
+        return let(let(fields, by_relevance), lambda found: F.when(F.size(found) > 0, found).otherwise(keys))
+
+    def from_row(m):
         lone = (F.size(m) == 1) | ((F.size(m) == 2) & F.map_contains_key(m, F.lit("rank")))
-        name = F.coalesce(m["relation_id"], m["relation"], F.when(lone, F.get(other, F.lit(0))))
+        other = F.get(F.filter(F.map_keys(m), lambda k: k != "rank"), F.lit(0))
+        name = F.coalesce(m["relation_id"], m["relation"], F.when(lone, other))
         return entry(name, m["rank"], F.coalesce(m["score"], m["relevance_score"]))
 
-    def present(items):
-        return F.filter(items, lambda e: e["text"].isNotNull() & (e["text"] != ""))
+    def from_list(items):
+        rows = F.filter(items, lambda x: x.startswith("{"))
+        return present(F.transform(F.transform(rows, _map), from_row))
+
+    def read(payload):
+        good = _valid(payload)
+        return F.when(good & payload.startswith("{"), let(_map(payload), from_object)).when(
+            good & payload.startswith("["), from_list(_list(payload)))
+
+    def payload_of(t):
+        inner = F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")),
+                           F.regexp_extract(t, r"(?s)\[.*\]", 0))
+        return F.when(t.startswith("[") | t.startswith("{"), t).otherwise(inner)
 
-    listed = present(F.transform(_list(ranked), ranked_item))
-    from_field = F.when(ranked.startswith("["), listed).otherwise(
-        present(F.array(entry(ranked, none, F.get(scores, F.lit(0))))))
-    from_keys = F.transform(F.map_keys(obj), lambda k: entry(k, none, none))
-    from_obj = F.when(F.size(from_field) > 0, from_field).otherwise(from_keys)
-    from_list = present(F.transform(F.filter(arr, lambda x: x.startswith("{")), row_item))
-    rows = F.when(obj.isNotNull(), from_obj).otherwise(from_list)
-    return F.transform(rows, lambda e, i: F.struct(
+    return F.transform(let(let(F.trim(text), payload_of), read), lambda e, i: F.struct(
         i.alias("pos"), e["text"].alias("text"), e["rank"].alias("rank"), e["score"].alias("score")))
 
 

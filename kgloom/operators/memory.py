@@ -83,7 +83,7 @@ def select_by_name(groups: DataFrame, chosen: DataFrame) -> DataFrame:
 
     ``chosen(qid, depth, group_id, names)`` comes from one reply per group.
     """
-    wanted = chosen.select(*GROUP, F.posexplode(F.array_sort("names")).alias("pick", "picked"))
+    wanted = chosen.select(*GROUP, F.posexplode(F.sort_array("names")).alias("pick", "picked"))
     wanted = wanted.select(*GROUP, "pick", name_key(F.col("picked")).alias("_key")).where("_key <> ''")
     members = first_per_group(
         groups.withColumn("_key", name_key(F.coalesce(F.nullif("name", F.lit("")), "id"))),
@@ -119,7 +119,7 @@ def knowledge_triplets(selected: DataFrame) -> DataFrame:
         selected.select(*ROUND, "topic", "topic_name", "fwd", "rel", "id", "name", "ord"),
         [*ROUND, "topic", "fwd", "rel", "id"], [F.col("ord")],
     )
-    names = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "name"))), lambda s: s["name"])
+    names = F.transform(F.sort_array(F.collect_list(F.struct("ord", "id", "name"))), lambda s: s["name"])
     return once.groupBy(*ROUND, "topic", "topic_name", "fwd", "rel").agg(names.alias("_names")).select(
         *ROUND, "topic", "fwd", "rel",
         F.concat_ws(", ", "topic_name", "rel", quoted_list(F.col("_names"))).alias("line"),
@@ -128,7 +128,7 @@ def knowledge_triplets(selected: DataFrame) -> DataFrame:
 
 def knowledge_text(lines: DataFrame) -> DataFrame:
     """All lines of a round, sorted by topic, side ("head" first) and relation."""
-    listed = F.array_sort(F.collect_list(F.struct("topic", (~F.col("fwd")).alias("_back"), "rel", "line")))
+    listed = F.sort_array(F.collect_list(F.struct("topic", (~F.col("fwd")).alias("_back"), "rel", "line")))
     return lines.groupBy(*ROUND).agg(F.array_join(F.transform(listed, lambda s: s["line"]), "\n").alias("triplets"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.functions.responses import let
 from kgloom.skew import first_per_group, top_per_group
 
 
@@ -32,7 +33,7 @@ def prune_previous_relations(cand: DataFrame, previous: DataFrame) -> DataFrame:
 
 def unique_sorted_relations(cand: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct relations per direction, ascending (bounded by the vocabulary)."""
-    return cand.groupBy(*keys, "fwd").agg(F.array_sort(F.collect_set("rel")).alias("relations"))
+    return cand.groupBy(*keys, "fwd").agg(F.sort_array(F.collect_set("rel")).alias("relations"))
 
 
 def cap_relations(cand: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -40,6 +41,34 @@ def cap_relations(cand: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return top_per_group(cand, keys, [F.desc("fwd"), F.col("rel")], max(1, int(limit)), "_rn").drop("_rn")
 
 
+def relation_lists(cand: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted head and tail lists per retrieval.
+
+    ``cand`` rows are distinct relations, so a list is bounded by the relation
+    vocabulary of the graph, whatever the number of edges.
+    """
+    return cand.groupBy(*keys).agg(
+        F.sort_array(F.collect_set(F.when(F.col("fwd"), F.col("rel")))).alias("heads"),
+        F.sort_array(F.collect_set(F.when(~F.col("fwd"), F.col("rel")))).alias("tails"))
+
+
+def cap_lists(df: DataFrame, limit: int) -> DataFrame:
+    """Cap head list plus tail list at ``limit`` and add the size before."""
+    limit = max(1, int(limit))
+    room = F.greatest(F.lit(0), limit - F.size("heads"))
+    return df.withColumns({
+        "size_before": F.size("heads") + F.size("tails"),
+        "heads": F.slice("heads", 1, limit), "tails": F.slice("tails", F.lit(1), room),
+    }).where("size_before > 0")
+
+
+def without_way_back(heads: Column, tails: Column, last: Column) -> tuple[Column, Column]:
+    """Both lists without the inverse of the last hop."""
+    up, down = F.coalesce(last["fwd"], F.lit(False)), F.coalesce(~last["fwd"], F.lit(False))
+    return (F.when(down, F.array_remove(heads, last["id"])).otherwise(heads),
+            F.when(up, F.array_remove(tails, last["id"])).otherwise(tails))
+
+
 def resolve_relation_names(ranking: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
     """Ranked text to relation id: an id stays, a unique display name maps."""
     ids = cand.select(*keys, F.col("rel").alias("text"), F.lit(True).alias("_is_id")).distinct()
@@ -126,23 +155,27 @@ def prune_reply(ranking: Column, heads: Column, tails: Column, k: int, last: Col
     searches use it; the list sizes are bounded by the relation cap.  Returns
     array<struct<rank,rel,fwd,score>>.
     """
-    order = F.array_sort(F.transform(ranking, lambda e: F.struct(
+    order = F.sort_array(F.transform(ranking, lambda e: F.struct(
         F.coalesce(valid_rank(e["rank"]), F.lit(2**31 - 1)).alias("o"), e["pos"].alias("pos"),
         e["text"].alias("text"), clamp_score(e["score"]).alias("score"))))
-    listed = F.concat(heads, tails)
+
+    def listed(text):
+        return F.array_contains(heads, text) | F.array_contains(tails, text)
 
     def resolve(e):
-        known = F.array_contains(listed, e["text"])
         other = e["text"] if unique_names is None else F.coalesce(F.try_element_at(unique_names, e["text"]), e["text"])
-        rel = F.when(known, e["text"]).otherwise(other)
-        return F.struct(rel.alias("rel"), F.array_contains(heads, rel).alias("fwd"), e["score"].alias("score"))
+        return F.struct(F.when(listed(e["text"]), e["text"]).otherwise(other).alias("rel"), e["score"].alias("score"))
+
+    def first_of_each(rows):
+        return let(F.transform(rows, lambda e: e["rel"]), lambda seen: F.filter(
+            rows, lambda e, i: F.array_position(seen, e["rel"]) == i + 1))
 
-    resolved = F.filter(F.transform(order, resolve), lambda e: F.array_contains(listed, e["rel"]))
-    seen = F.transform(resolved, lambda e: e["rel"])
-    once = F.filter(resolved, lambda e, i: F.array_position(seen, e["rel"]) == i + 1)
+    known = F.filter(F.transform(order, resolve), lambda e: listed(e["rel"]))
+    placed = F.transform(let(known, first_of_each), lambda e: F.struct(
+        e["rel"].alias("rel"), F.array_contains(heads, e["rel"]).alias("fwd"), e["score"].alias("score")))
     if last is not None:
-        once = F.filter(once, lambda e: ~F.coalesce((e["rel"] == last["id"]) & (e["fwd"] != last["fwd"]), F.lit(False)))
-    kept = F.slice(once, 1, max(1, int(k)))
+        placed = F.filter(placed, lambda e: ~F.coalesce((e["rel"] == last["id"]) & (e["fwd"] != last["fwd"]), F.lit(False)))
+    kept = F.slice(placed, 1, max(1, int(k)))
     if both_ways:
         def sides(e):
             both = F.array_contains(heads, e["rel"]) & F.array_contains(tails, e["rel"])
