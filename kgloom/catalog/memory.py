@@ -60,7 +60,7 @@ def semantic_top_n(fx):
     """Question vector of a label: that of its smallest vec_id."""
     emb = fx["embeddings"]
     q = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qv"))
-    cand = emb.select("label", F.col("vec_id").alias("id"), "embedding").join(F.broadcast(q), "label")
+    cand = emb.select("label", F.col("vec_id").alias("id"), "embedding").join(q, "label")
     out = p.semantic_top_n(cand, ["label"], 10, "qv", "embedding")
     return out.select("label", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 

@@ -114,7 +114,7 @@ SELECT r.dataset, r.method, r.id, coalesce(n, 0) AS n_steps FROM pred_rows r LEF
 def write_details(fx):
     heads = fx.rel("pred_rows").select("id", "dataset", "method")
     flat = fx.written("steps").select("id", "step_type", "search_type", "input_tokens", "output_tokens").withColumns({
-        "trace_order": F.lit(prepare.UNTRACED).cast("long"), "seq": F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))})
+        "trace_order": F.lit(prepare.UNTRACED).cast("long"), "seq": F.monotonically_increasing_id()})
     path = scratch(fx, "details")
     io.write_details(io.nested_details(heads, io.number_steps(flat).drop("trace_order", "seq"), 3), path)
     read = fx.spark.read.schema(io.DETAILS + ", dataset string, method string").json(path)

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions import terms
 from kgloom.settings import NAME_PREDICATE, SAME_AS, UNNAMED, GraphKind
-from kgloom.skew import attach_stats, first_per_group, staged, top_per_group
+from kgloom.skew import staged, top_per_group
 
 HUB_DEGREE = 1_000_000   # edges of one node that one task may hold
 MAX_HUBS = 10_000        # hub list is broadcast, so its size is bounded
