@@ -29,6 +29,19 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def native_words(text):
     """Array of the words [^x20 x09-x0D]+ of a text column; empty for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACES)
-    # only the first and the last part can be empty
-    return F.filter(parts, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text):
+    """A-Z to lower case, all else unchanged.
+
+    ``lower`` also changes other alphabets; where that shows in the part outside
+    ASCII, the slower character map is used.
+    """
+    outside = lambda c: F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    return F.when(outside(F.lower(text)) == outside(text), F.lower(text)).otherwise(
+        F.translate(text, _UPPER, _UPPER.lower()))
