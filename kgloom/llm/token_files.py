@@ -45,6 +45,7 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 # stand for themselves, the others for the characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_SPACE = chr(_CHARS[32])
 _SIGNS = set(string.punctuation)
 
 
@@ -58,47 +59,58 @@ class Encoder:
         self._t = Tokenizer.from_file(path)
         self._model = self._t.model
         self._special = [t.content for t in self._t.get_added_tokens_decoder().values()]
-        self._cache: dict[str, bytes] = {}
+        size = self._t.get_vocab_size(with_added_tokens=True)
+        self._bytes = [bytes(x) for x in np.arange(size, dtype="<u4").view("u1").reshape(-1, 4)]
+        self._cache: dict[str, bytes] = {}                 # ids of " " + word
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self._t.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        if not texts:
+            return []
+        return [np.array(e.ids, "<u4").tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, word: str) -> list[int]:
-        return [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(_CHARS))]
+    def _merged(self, word: str) -> bytes:
+        word = _SPACE + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(_CHARS)
+        of = self._bytes
+        return b"".join([of[t.id] for t in self._model.tokenize(word)])
 
-    def _new(self, pieces: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         hard = []
-        for p in pieces:
-            core = p[1:] if p[0] == " " else p
-            if core.isalpha():
-                ids = self._merged(p)
-            elif core[:-1].isalpha() and core[-1] in _SIGNS:
-                ids = self._merged(p[:-1]) + self._merged(p[-1])
+        for w in words:
+            if w.isalpha():
+                self._cache[w] = self._merged(w)
+            elif w[-1:] in _SIGNS and w[:-1].isalpha():
+                self._cache[w] = self._merged(w[:-1]) + self._bytes[self._model.token_to_id(w[-1])]
             else:
-                hard.append(p)
-                continue
-            self._cache[p] = np.array(ids, "<u4").tobytes()
-        self._cache.update(zip(hard, self._encode(hard)))
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if any(s in text for s in self._special):
-            return None
-        if _RUN.search(text):
-            return [p for p in _CUT.split(text) if p]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in rest]
+                hard.append(w)
+        self._cache.update(zip(hard, self._encode([" " + w for w in hard])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        if len(self._cache) > CACHE_PIECES:
+        out: list[bytes] = [b""] * len(texts)
+        cut = []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self._special):
+                out[i] = self._encode([text])[0]
+            elif _RUN.search(text):
+                out[i] = b"".join(self._encode([p for p in _CUT.split(text) if p]))
+            else:
+                cut.append((i, text.split(" ")))
+        first = self._encode([w[0] for _, w in cut])
+        new = set().union(*(w for _, w in cut)).difference(self._cache)
+        if len(self._cache) + len(new) > CACHE_PIECES:     # a fresh cache must hold all of this call
             self._cache.clear()
-        cache = self._cache
-        self._new(list({p for c in cut if c for p in c if p not in cache}))
-        return [self._encode([t])[0] if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(texts, cut)]
+            new = set().union(*(w for _, w in cut))
+        self._learn(new)
+        known = self._cache.__getitem__
+        for (i, w), head in zip(cut, first):
+            del w[0]
+            out[i] = head + b"".join(map(known, w))
+        return out
 
 
-encoder_of = functools.cache(Encoder)      # one for each worker process
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process."""
+    return Encoder(path)
 
 
 def _write(folder: str, tokenizer: str, end_id: int):
@@ -109,7 +121,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if writer is None and texts:
                 part = TaskContext.get().partitionId()
-                writer = Writer(folder, attempt_name(part, ".tok.zst"))
+                writer = Writer(folder, attempt_name(part, ".tok.zst"), level=1)
             doc_ids = batch.column("doc_id").to_pylist()
             for lo in range(0, len(texts), 512):
                 for doc, body in zip(doc_ids[lo:lo + 512], encoder(texts[lo:lo + 512])):
