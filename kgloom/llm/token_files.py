@@ -36,7 +36,7 @@ from kgloom.llm.seekable import Reader, Writer, attempt_name
 END_ID = 2
 FRAME_TOKENS = 65_536
 MOST_TOKENS = 1 << 20
-CACHE_PIECES = 1_000_000        # the piece cache of a worker starts anew at this size
+CACHE_PIECES = 1_000_000        # the piece cache of a worker starts anew beyond this size
 _RUN = re.compile(r"\s ")       # a space after white space: cut by the slower rule
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -49,62 +49,54 @@ _SPACE = chr(_CHARS[32])
 _SIGNS = set(string.punctuation)
 
 
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs one worker for each core
-        from tokenizers import Tokenizer
+class _Words(dict):
+    """Ids of " " + word, encoded when first asked for."""
 
-        self._t = Tokenizer.from_file(path)
-        self._model = self._t.model
-        self._special = [t.content for t in self._t.get_added_tokens_decoder().values()]
-        size = self._t.get_vocab_size(with_added_tokens=True)
+    def __init__(self, tokenizer):
+        self._t, self._model = tokenizer, tokenizer.model
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
         self._bytes = [bytes(x) for x in np.arange(size, dtype="<u4").view("u1").reshape(-1, 4)]
-        self._cache: dict[str, bytes] = {}                 # ids of " " + word
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, "<u4").tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self._t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _merged(self, word: str) -> bytes:
         word = _SPACE + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(_CHARS)
         of = self._bytes
         return b"".join([of[t.id] for t in self._model.tokenize(word)])
 
-    def _learn(self, words: set[str]) -> None:
-        hard = []
-        for w in words:
-            if w.isalpha():
-                self._cache[w] = self._merged(w)
-            elif w[-1:] in _SIGNS and w[:-1].isalpha():
-                self._cache[w] = self._merged(w[:-1]) + self._bytes[self._model.token_to_id(w[-1])]
-            else:
-                hard.append(w)
-        self._cache.update(zip(hard, self._encode([" " + w for w in hard])))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut = []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self._special):
-                out[i] = self._encode([text])[0]
-            elif _RUN.search(text):
-                out[i] = b"".join(self._encode([p for p in _CUT.split(text) if p]))
-            else:
-                cut.append((i, text.split(" ")))
-        first = self._encode([w[0] for _, w in cut])
-        new = set().union(*(w for _, w in cut)).difference(self._cache)
-        if len(self._cache) + len(new) > CACHE_PIECES:     # a fresh cache must hold all of this call
-            self._cache.clear()
-            new = set().union(*(w for _, w in cut))
-        self._learn(new)
-        known = self._cache.__getitem__
-        for (i, w), head in zip(cut, first):
-            del w[0]
-            out[i] = head + b"".join(map(known, w))
-        return out
+    def __missing__(self, w: str) -> bytes:
+        if w.isalpha():
+            got = self._merged(w)
+        elif w[-1:] in _SIGNS and w[:-1].isalpha():
+            got = self._merged(w[:-1]) + self._bytes[self._model.token_to_id(w[-1])]
+        else:
+            got = self.whole(" " + w)
+        self[w] = got
+        return got
+
+
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit bytes."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs one worker for each core
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        self._special = [x.content for x in t.get_added_tokens_decoder().values()]
+        self._words = _Words(t)
+
+    def __call__(self, text: str) -> bytes:
+        words = self._words
+        if any(s in text for s in self._special):
+            return words.whole(text)
+        if _RUN.search(text):
+            return b"".join([words.whole(p) for p in _CUT.split(text) if p])
+        if len(words) > CACHE_PIECES:
+            words.clear()
+        first, *rest = text.split(" ")
+        return words.whole(first) + b"".join(map(words.__getitem__, rest))
 
 
 @functools.cache
@@ -123,18 +115,18 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 part = TaskContext.get().partitionId()
                 writer = Writer(folder, attempt_name(part, ".tok.zst"), level=1)
             doc_ids = batch.column("doc_id").to_pylist()
-            for lo in range(0, len(texts), 512):
-                for doc, body in zip(doc_ids[lo:lo + 512], encoder(texts[lo:lo + 512])):
-                    ids.append(doc or 0)
-                    valid.append(doc is not None)
-                    counts.append(len(body) // 4 + 1)
-                    held += body + end
-                    while len(held) >= 4 * MOST_TOKENS:
-                        writer.frame(bytes(held[:4 * MOST_TOKENS]))
-                        del held[:4 * MOST_TOKENS]
-                    if len(held) >= 4 * FRAME_TOKENS:
-                        writer.frame(bytes(held))
-                        held = bytearray()
+            for doc, text in zip(doc_ids, texts):
+                body = encoder(text)
+                ids.append(doc or 0)
+                valid.append(doc is not None)
+                counts.append(len(body) // 4 + 1)
+                held += body + end
+                while len(held) >= 4 * MOST_TOKENS:
+                    writer.frame(bytes(held[:4 * MOST_TOKENS]))
+                    del held[:4 * MOST_TOKENS]
+                if len(held) >= 4 * FRAME_TOKENS:
+                    writer.frame(bytes(held))
+                    held = bytearray()
         if writer is not None:
             if held:
                 writer.frame(bytes(held))
