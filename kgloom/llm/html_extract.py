@@ -40,6 +40,7 @@ FURNITURE = ("nav menu header footer aside sidebar ad ads advert advertisement b
              "form login search comment comments reply related share social breadcrumb pagination widget popup modal "
              "newsletter subscribe legal copyright toolbar").split()
 ARTICLE = {"article", "main"}
+TEXT_TAGS = "h1 h2 h3 h4 p li div blockquote td pre figcaption section dd".split()
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9-]*")
 _PART = re.compile(r"[a-z0-9]+")
@@ -293,6 +294,9 @@ def _planted(blocks, rng):
     """
     name = ("article", "main", "article post", "main content", "article entry")[rng.integers(5)]
     out = [(tuple(name if w.split(" ")[0] in ARTICLE else w for w in p), t, k) for p, t, k in blocks]
+    for i, (path, t, k) in enumerate(out):      # other text elements than the sample happens to use
+        if len(path) > 1 and rng.random() < 0.3:
+            out[i] = ((*path[:-1], TEXT_TAGS[rng.integers(len(TEXT_TAGS))]), t, k)
     for _ in range(rng.integers(0, 7)):
         k = int(rng.integers(0, len(out)))
         around, text, _ = out[k]
