@@ -22,15 +22,15 @@ they travel to the tasks as a scalar subquery.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.llm.common import keyed, native_words, staged, table
+from kgloom.llm.rarity import levels, possible, prefix_size, rare_first
 
 PERCENT = 85
 MIN_TOKENS = 5
-CLASS_BITS = 20
 SHARED = 2
 _KEY = ["id", "line", "rid"]
 
@@ -43,36 +43,12 @@ def _tokens(part):
     return F.array_distinct(F.transform(native_words(part), lambda w: F.xxhash64(w)))
 
 
-def _class(name):
-    return F.pmod(name, F.lit(1 << CLASS_BITS)).cast("int")
-
-
-def frequency_classes(spark: SparkSession, rows: DataFrame):
-    """Scalar: array of 2**CLASS_BITS bytes, each the logarithm of its class's word count."""
-    words = rows.select(F.explode(F.transform(native_words(F.col("text")), lambda w: F.xxhash64(w))).alias("name"))
-    counts = words.groupBy(_class(F.col("name")).alias("k")).agg(F.count("*").alias("c"))
-    level = F.least(F.lit(100), F.floor(4 * F.log2(F.col("c") + 1))).cast("tinyint")
-    counts = staged(counts.select("k", level.alias("level")), "word_classes")
-    every = spark.range(1 << CLASS_BITS).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("tinyint").alias("level"))
-    full = every.unionByName(counts).groupBy("k").agg(F.max("level").alias("level"))
-    packed = F.sort_array(F.collect_list(F.struct("k", "level")))          # of fixed size
-    return full.agg(F.transform(packed, lambda x: x["level"]).alias("levels")).scalar()
-
-
-def _need(n, m, percent: int):
-    """Least overlap of sets of n and m tokens that reaches the similarity."""
-    return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
-
-
 def _earlier(a: str, b: str):
     return F.struct(*[F.col(f"{a}{c}") for c in _KEY]) < F.struct(*[F.col(f"{b}{c}") for c in _KEY])
 
 
 def _possible(x: str, y: str, percent: int):
-    """Length and positional bounds of two prefix entries (columns n, at with these prefixes)."""
-    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
-    rest = 1 + F.least(nx - F.col(f"{x}at"), ny - F.col(f"{y}at")) - 1 + F.least(F.col(f"{x}at"), F.col(f"{y}at"))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (rest >= _need(nx, ny, percent))
+    return possible(F.col(f"{x}n"), F.col(f"{x}at"), F.col(f"{y}n"), F.col(f"{y}at"), percent)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -102,15 +78,11 @@ def _line_key():
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, rid, line) of every line that goes."""
-    spark = docs.sparkSession
     rows = keyed(docs).where("id is not null and text is not null")
-    levels = frequency_classes(spark, rows)
-    lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") >= min_tokens)
-    lines = lines.select(*_KEY, "t", levels.alias("levels"))     # one step for Spark: rows do not hold the classes
-    rank = F.transform(F.array("levels"), lambda f: F.sort_array(F.transform("t", lambda h: (
-        F.shiftleft(F.get(f, _class(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))))
-    lines = lines.select(*_KEY, F.get(rank, F.lit(0)).alias("t")).withColumn("n", F.size("t"))
-    keep = F.least(F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / F.lit(100.0) - 1e-9).cast("int") + SHARED)
+    words = rows.select(F.explode(native_words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("name"))
+    lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") >= min_tokens).select(*_KEY, "t")
+    lines = rare_first(lines, "t", levels(words)).withColumn("n", F.size("t"))
+    keep = prefix_size(F.col("n"), percent, SHARED)
     lines = staged(lines.select(
         *_KEY, "n", F.xxhash64("t").alias("f1"), F.xxhash64(F.lit(1), F.reverse("t")).alias("f2"),
         F.slice("t", F.lit(1), keep).alias("prefix")), "lines")

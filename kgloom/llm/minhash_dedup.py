@@ -8,8 +8,9 @@ defaults (20 and 3) miss a pair with probability 2 * (1 - 0.75**3)**20 < 4e-5.
 
 Only sets that share a half key of either collection with another are tensored.
 Within a table key no pairs are listed at first: each set is verified against one
-randomly chosen leader, links are merged into components, and this is repeated.
-At last all pairs of a key that lie in different components are verified, so a
+leader, links are merged into components, and this is repeated while it finds
+links.  The first leaders are the sets that meet most others, which in a group of
+near copies are the ones in its middle; later ones are drawn at random.  At last all pairs of a key that lie in different components are verified, so a
 link of two components is never lost and a large group of copies costs about one
 pair for each member.  Verification intersects full shingle sets.
 """
@@ -24,11 +25,14 @@ from pyspark.sql.window import Window
 
 from kgloom.llm.common import keyed, staged, table
 from kgloom.llm.components import components
+from kgloom.llm.rarity import levels, possible, prefix_size, rare_first
 from kgloom.llm.textscan import U, Words, longs, mix, pieces
 
 SHINGLE, PERCENT = 5, 75
 TABLES, ROWS = 20, 3
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3        # at most; the last step is exact after any number
+SHARED = 2
+BLOCK, STEP = 256, 4096
 
 
 def _sets(column: pa.Array, size: int):
@@ -91,6 +95,49 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
 
 
+def _inside(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one crowd, in different components, that seem to reach the similarity.
+
+    Crowds are dealt into blocks of about BLOCK sets; each pair of blocks is one
+    small group of at most two blocks.  Names are cut to 31 bits, which can only add pairs.
+    """
+    blocks = rows.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).select("crowd", "k")
+    names = F.transform("shingles", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    put = rows.join(blocks, "crowd").select(
+        "crowd", "node", "comp", names.alias("names"), F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("own"), "k")
+    put = put.select("crowd", "node", "comp", "names", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    put = put.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    return put.groupBy("crowd", "lo", "hi").applyInArrow(_compared(percent), "a long, b long")
+
+
+def _compared(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
+        own, lo, hi = (group.column(c).to_numpy() for c in ("own", "lo", "hi"))
+        names = group.column("names").combine_chunks()
+        size = np.diff(names.offsets.to_numpy())
+        row = np.repeat(np.arange(len(node)), size)
+        word, at, df = np.unique(names.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = df[at] > 1
+        col = np.cumsum(df > 1) - 1
+        both = np.zeros((len(node), len(node)), np.float32)
+        at, row = col[at[shared]], row[shared]
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        cuts = np.searchsorted(at, np.arange(0, (at[-1] if len(at) else 0) + STEP + 1, STEP))
+        for x, y in zip(cuts[:-1], cuts[1:]):             # a slice of the words at a time
+            part = np.zeros((len(node), STEP), np.float32)
+            part[row[x:y], at[x:y] % STEP] = 1
+            both += part @ part.T
+        total = size[:, None] + size[None, :] - both
+        ok = (100 * both >= percent * total - 1e-3) & (comp[:, None] != comp[None, :]) & (node[:, None] < node[None, :])
+        if lo[0] != hi[0]:
+            ok &= own[:, None] != own[None, :]
+        a, b = np.nonzero(ok)
+        return pa.table({"a": node[a], "b": node[b]})
+    return run
+
+
 def links(reps: DataFrame, docs: DataFrame, size: int, percent: int, tables: int) -> DataFrame:
     """(node, comp) for the representatives ``reps`` (node, rid, n, half) that have a link."""
     key = reps.select("node", "n", F.explode("half").alias("key"))
@@ -100,8 +147,10 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int, tables: int
         F.collect_set(F.when(side == 0, F.col("key"))).alias("p"), F.collect_set(F.when(side == 1, F.col("key"))).alias("q"))
     pair_key = open_.select("node", "n", F.explode("p").alias("p"), "q").select("node", "n", "p", F.explode("q").alias("q"))
     pair_key = pair_key.select("node", "n", F.xxhash64("p", "q").alias("key"))
-    shared = pair_key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    member = staged(pair_key.join(shared, "key"), "table_keys")
+    shared = pair_key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    member = pair_key.join(shared, "key")
+    met = member.groupBy("node").agg(F.sum("c").alias("met"))
+    member = staged(member.drop("c").join(met, "node"), "table_keys")
     nodes = member.select("node").distinct().join(reps.select("node", "rid"), "node")
     sets = staged(
         docs.join(nodes, (docs["id"] == nodes["node"]) & (docs["rid"] == nodes["rid"])).select("node", "text")
@@ -111,29 +160,52 @@ def links(reps: DataFrame, docs: DataFrame, size: int, percent: int, tables: int
     done = edges = None
     for turn in range(LEADER_ROUNDS):
         m = member.join(comp, "node") if turn else member.withColumn("comp", F.col("node"))
+        first = -F.col("met") if turn < 2 else F.xxhash64("node", "key", F.lit(turn))
         lead = m.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "comp", "n")).alias("l"),
+            F.min(F.struct(first.alias("h"), "node", "comp", "n")).alias("l"),
             F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "l")
         met = m.join(lead, "key").where("comp <> l.comp").select("node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("m"))
         met = _sized(met, percent).groupBy("node", "leader").agg(F.count("*").alias("c"))
         best = Window.partitionBy("node").orderBy(F.desc("c"), "leader")      # at most tables**2 leaders of a node
-        pairs = met.withColumn("r", F.row_number().over(best)).where("r = 1").select(
+        best = met.withColumn("r", F.row_number().over(best)).where("r = 1")
+        if not turn:
+            best = staged(best, "first_leaders")
+            crowd = best.select("node", F.col("leader").alias("crowd"))
+        pairs = best.select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "leftanti"), "leader_pairs")
         found = _verified(pairs, sets, percent)
+        found = staged(found, "links")
         done = pairs if done is None else done.unionByName(pairs)
-        edges = staged(found if edges is None else edges.unionByName(found), "links")
+        edges = found if edges is None else edges.unionByName(found)
         comp = _joined(member, edges)
-    m = staged(member.join(comp, "node"), "members")
-    group = m.groupBy("key", "comp").agg(F.min("n").alias("x"), F.max("n").alias("y"))
-    mixed = group.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    group = staged(group.join(mixed, "key"), "groups")
-    g = group.select("key", F.col("comp").alias("c1"))
-    h = group.select("key", F.col("comp").alias("c2"))
-    left = m.select("key", F.col("comp").alias("c1"), F.col("node").alias("a"), "n")
-    right = m.select("key", F.col("comp").alias("c2"), F.col("node").alias("b"), F.col("n").alias("m"))
-    rest = _sized(g.join(h, "key").where("c1 < c2").join(left, ["key", "c1"]).join(right, ["key", "c2"]), percent)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if turn > 1 and not found.limit(1).count():
+            break
+    # The rest: pairs of sets in different components that meet in a table key.  A crowd is the
+    # sets with the same first leader.  Inside a crowd many pairs lie just below the similarity,
+    # so they are compared block by block without listing them.  Across crowds, those pairs are
+    # verified that share SHARED of their rarest shingles, as every pair of the similarity does.
+    m = member.drop("met").join(comp, "node")
+    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = m.join(mixed, "key").select("node", "comp", "n").distinct()
+    open_ = staged(open_.join(crowd, "node", "left").withColumn("crowd", F.coalesce("crowd", "node")), "open_sets")
+    rare = sets.join(open_, "node")
+    inside = staged(_inside(rare, percent), "crowd_pairs")
+    rare = rare_first(rare, "shingles", levels(rare.select(F.explode("shingles").alias("name"))))
+    entry = rare.select("node", "comp", "n", "crowd", F.posexplode(
+        F.slice("shingles", F.lit(1), prefix_size(F.col("n").cast("int"), percent, SHARED))).alias("at", "token"))
+    entry = staged(entry, "prefixes")
+    group = entry.select("token", "crowd").distinct()
+    several = group.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    group = staged(group.join(several, "token"), "groups")
+    g = group.select("token", F.col("crowd").alias("c1"))
+    h = group.select("token", F.col("crowd").alias("c2"))
+    x = entry.toDF("a", "xa", "na", "c1", "ka", "token")
+    y = entry.toDF("b", "xb", "nb", "c2", "kb", "token")
+    rest = g.join(h, "token").where("c1 < c2").join(x, ["token", "c1"]).join(y, ["token", "c2"])
+    rest = rest.where((F.col("xa") != F.col("xb")) & possible(F.col("na"), F.col("ka"), F.col("nb"), F.col("kb"), percent))
+    rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"))
+    rest = rest.where(F.col("c") >= SHARED).select("a", "b").unionByName(inside)
     rest = staged(rest.join(done, ["a", "b"], "leftanti"), "last_pairs")
     return components(staged(edges.unionByName(_verified(rest, sets, percent)), "links"))
 
