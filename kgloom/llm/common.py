@@ -51,3 +51,8 @@ def ascii_lower(text):
     outside = lambda c: F.regexp_replace(c, r"[\x00-\x7F]+", "")
     return F.when(outside(F.lower(text)) == outside(text), F.lower(text)).otherwise(
         F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``rows`` rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

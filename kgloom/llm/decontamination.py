@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import ascii_lower, keyed, staged, table
+from kgloom.llm.common import ascii_lower, keyed, small, staged, table
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
@@ -39,10 +39,6 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     ).select("item_id", F.slice("w", F.col("s") + 1, F.lit(size)).alias("words")).distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of ``docs``: id, rid, n_words, n_hit, item_ids (sorted as strings).
 
@@ -54,7 +50,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
         item_windows(items, size).groupBy("words").agg(F.collect_set("item_id").alias("items")), "item_windows")
     vocabulary = windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("name")).distinct()
     names = rows.select("id", "rid", F.transform(alnum_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    counts = names.select(F.explode("h").alias("name")).join(_small(vocabulary, broadcast_rows), "name", "leftsemi")
+    counts = names.select(F.explode("h").alias("name")).join(small(vocabulary, broadcast_rows), "name", "leftsemi")
     counts = staged(counts.groupBy("name").agg(F.count("*").alias("c")), "word_counts")
     spread = windows.select("words", F.posexplode("words").alias("at", "word")).withColumn("name", F.xxhash64("word"))
     rarest = spread.join(counts, "name", "left").groupBy("words").agg(
@@ -64,7 +60,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
     prefix = staged(prefix, "prefix")
     at = names.select("id", "rid", F.size("h").alias("n"), F.posexplode("h").alias("pos", "name"))
     found = (
-        at.join(_small(prefix.select("name", "at", "len", "words"), broadcast_rows), "name")
+        at.join(small(prefix.select("name", "at", "len", "words"), broadcast_rows), "name")
         .where("pos >= at and pos - at + len <= n")
         .select("id", "rid", (F.col("pos") - F.col("at")).alias("start"), "words")
     )
@@ -84,7 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
 
 
 def _with_items(found: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:
-    return found.join(_small(windows, broadcast_rows), "words")
+    return found.join(small(windows, broadcast_rows), "words")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

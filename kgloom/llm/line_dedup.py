@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgloom.llm.common import keyed, native_words, staged, table
+from kgloom.llm.common import keyed, native_words, small, staged, table
 from kgloom.llm.rarity import levels, possible, prefix_size, rare_first
 
 PERCENT = 85
 MIN_TOKENS = 5
 SHARED = 2
+BROADCAST_ROWS = 200_000      # documents with candidate lines, an id and some line numbers each
 _KEY = ["id", "line", "rid"]
 
 
@@ -51,31 +52,26 @@ def _possible(x: str, y: str, percent: int):
     return possible(F.col(f"{x}n"), F.col(f"{x}at"), F.col(f"{y}n"), F.col(f"{y}at"), percent)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Later lines (y) of ``pairs`` (x, y: keys of two lines) that reach the similarity."""
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("l")).distinct()
-    asked = asked.join(reps.select("l", *_KEY), "l").groupBy("id", "rid").agg(F.collect_set("line").alias("lines"))  # of one document
-    text = rows.join(asked, ["id", "rid"])
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Later lines (id, rid, line) of ``pairs`` (xd, xl, yd, yl: document and line) that reach the similarity."""
+    asked = pairs.select(F.explode(F.array(
+        F.struct(F.col("xd").alias("id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("id"), F.col("yl").alias("line")))).alias("l"))
+    asked = staged(asked.select("l.*").groupBy("id").agg(F.collect_set("line").alias("lines")), "asked")   # of one document
+    text = rows.join(small(asked, BROADCAST_ROWS), "id")
     sets = text.select("id", "rid", "lines", F.posexplode(F.split("text", "\n")).alias("line", "part"))
-    sets = sets.where(F.array_contains("lines", F.col("line"))).select(
-        _line_key().alias("l"), *_KEY, _tokens(F.col("part")).alias("t"))
+    sets = sets.where(F.array_contains("lines", F.col("line"))).select(*_KEY, _tokens(F.col("part")).alias("t"))
     sets = staged(sets, "line_sets")
-    x = sets.select(F.col("l").alias("x"), F.col("t").alias("tx"), *[F.col(c).alias(f"x_{c}") for c in _KEY])
-    y = sets.select(F.col("l").alias("y"), F.col("t").alias("ty"), *[F.col(c).alias(f"y_{c}") for c in _KEY])
-    both = F.size(F.array_intersect("tx", "ty"))
+    x = sets.select(F.col("id").alias("xd"), F.col("line").alias("xl"), F.col("rid").alias("xr"), F.col("t").alias("tx"))
+    y = sets.select(F.col("id").alias("yd"), F.col("line").alias("yl"), F.col("rid").alias("yr"), F.col("t").alias("ty"))
+    later = F.struct("xd", "xl", "xr") < F.struct("yd", "yl", "yr")
     return (
-        pairs.join(x, "x").join(y, "y").where(_earlier("x_", "y_"))
-        .withColumn("i", both)
+        pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).where(later)
+        .withColumn("i", F.size(F.array_intersect("tx", "ty")))
         .where(100 * F.col("i") >= percent * (F.size("tx") + F.size("ty") - F.col("i")))
-        .select("y", *[F.col(f"y_{c}").alias(c) for c in _KEY]).distinct()
+        .select(F.col("yd").alias("id"), F.col("yr").alias("rid"), F.col("yl").alias("line")).distinct()
     )
 
 
-def _line_key():
-    """Address of a line; what it points to is compared in full, so a clash costs time only."""
-    return F.xxhash64("id", "rid", "line")
-
-
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, rid, line) of every line that goes."""
     rows = keyed(docs).where("id is not null and text is not null")
@@ -83,38 +79,41 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") >= min_tokens).select(*_KEY, "t")
     lines = rare_first(lines, "t", levels(words)).withColumn("n", F.size("t"))
     keep = prefix_size(F.col("n"), percent, SHARED)
-    lines = staged(lines.select(
-        *_KEY, "n", F.xxhash64("t").alias("f1"), F.xxhash64(F.lit(1), F.reverse("t")).alias("f2"),
-        F.slice("t", F.lit(1), keep).alias("prefix")), "lines")
+    # Joins of prefixes use 31 bits of a token: a clash can only add a candidate.
+    short = F.transform(F.slice("t", F.lit(1), keep), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
+    lines = staged(lines.select(*_KEY, "n", F.xxhash64("t").alias("f1"), F.xxhash64(F.lit(1), F.reverse("t")).alias("f2"),
+                                short.alias("prefix")), "lines")
     first = lines.groupBy("f1", "f2", "n").agg(F.min(F.struct(*_KEY, "prefix")).alias("r"), F.count("*").alias("c"))
     first = staged(first.select("f1", "f2", "n", "c", "r.*"), "line_classes")
     many = first.where("c > 1").select("f1", "f2", "n", *[F.col(c).alias(f"r_{c}") for c in _KEY])
     copies = lines.select(*_KEY, "f1", "f2", "n").join(many, ["f1", "f2", "n"]).where(_earlier("r_", "")).select(*_KEY)
 
-    reps = first.withColumn("l", _line_key())
-    entry = reps.select("l", *_KEY, "n", F.posexplode("prefix").alias("at", "token"))
-    lead = entry.groupBy("token").agg(F.min(F.struct(*_KEY, "l", "n", "at")).alias("x"), F.count("*").alias("c"))
-    lead = lead.where("c > 1").select("token", "x.*")
-    lead = lead.toDF(*["token" if c == "token" else f"x_{c}" for c in lead.columns])
-    met = staged(entry.join(lead, "token"), "prefix_entries")
-    best = Window.partitionBy("l").orderBy(F.desc("c"), "x_l")           # at most a prefix of leaders of a line
+    # A document and a line number address a line; rows that repeat an id are told apart in _verified.
+    entry = first.select("id", "line", "n", F.posexplode("prefix").alias("at", "token"))
+    lead = entry.groupBy("token").agg(F.min(F.struct("id", "line", "n", "at")).alias("x"), F.count("*").alias("c"))
+    lead = lead.where("c > 1").select("token", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("id", "line", "n", "at")])
+    other = (F.col("id") != F.col("x_id")) | (F.col("line") != F.col("x_line"))
+    meets = other & _possible("x_", "", percent)
+    met = staged(entry.join(lead, "token").select(
+        "token", "id", "line", "n", "at", F.when(meets, F.struct(F.col("x_id").alias("id"), F.col("x_line").alias("line"))).alias("x")), "prefix_entries")
+    best = Window.partitionBy("id", "line").orderBy(F.desc("c"), "x")           # at most a prefix of leaders of a line
     pairs = (
-        met.where((F.col("l") != F.col("x_l")) & _possible("x_", "", percent))
-        .groupBy("l", "x_l").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
-        .withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("x_l").alias("x"), F.col("l").alias("y"))
+        met.where("x is not null").groupBy("id", "line", "x").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+        .withColumn("r", F.row_number().over(best)).where("r = 1")
+        .select(F.col("x.id").alias("xd"), F.col("x.line").alias("xl"), F.col("id").alias("yd"), F.col("line").alias("yl"))
     )
     pairs = staged(pairs, "leader_pairs")
-    gone = staged(_verified(pairs, reps, rows, percent), "gone_lines")
-    e = met.select("token", "l", *_KEY, "n", "at")
+    gone = staged(_verified(pairs, rows, percent), "gone_lines")
+    e = met.drop("x")
     x = e.toDF(*["token" if c == "token" else f"x_{c}" for c in e.columns])
-    y = e.join(gone.select(F.col("y").alias("l")), "l", "leftanti")
+    y = e.join(gone.select("id", "line").distinct(), ["id", "line"], "leftanti")
     rest = (
-        x.join(y, "token").where(_earlier("x_", "") & _possible("x_", "", percent))
-        .groupBy(F.col("x_l").alias("x"), F.col("l").alias("y")).agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
-        .select("x", "y").join(pairs, ["x", "y"], "leftanti")
+        x.join(y, "token").where((F.struct("x_id", "x_line") < F.struct("id", "line")) & _possible("x_", "", percent))
+        .groupBy(F.col("x_id").alias("xd"), F.col("x_line").alias("xl"), F.col("id").alias("yd"), F.col("line").alias("yl"))
+        .agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c").join(pairs, ["xd", "xl", "yd", "yl"], "leftanti")
     )
-    more = _verified(staged(rest, "last_pairs"), reps, rows, percent)
-    return copies.unionByName(gone.select(*_KEY)).unionByName(more.select(*_KEY)).distinct()
+    more = _verified(staged(rest, "last_pairs"), rows, percent)
+    return copies.unionByName(gone).unionByName(more).distinct()
 
 
 def _with_gone(docs: DataFrame, **options) -> DataFrame:
@@ -130,8 +129,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the later of similar lines cut from ``text``; columns and rows are kept.
 
     Null texts and rows with a null id stay as they are.  Rows that repeat an id
-    are ordered by a hash of their text; equal rows do not remove each other's
-    lines.  A text may become empty.  ``n_chars``, where there is one, follows.
+    are ordered by line number, then by a hash of their text; equal rows do not
+    remove each other's lines, and lines of one id and number only count as
+    similar if their token sets are equal.  A text may become empty.  ``n_chars``, where there is one, follows.
     """
     rows = _with_gone(docs, **options)
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_l_gone", i))

@@ -187,7 +187,8 @@ def _read(batches):
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in ``files``, all frames checked."""
-    return files.select("path", "start").repartition("path").mapInArrow(
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # tasks, of a file or some files each
+    return files.select("path", "start").repartition(parts, "path").mapInArrow(
         _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -147,7 +147,8 @@ def _read(batches):
 
 def read_warc(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, digests checked."""
-    return index.select("path").distinct().mapInArrow(
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # tasks, of a file or some files each
+    return index.select("path").distinct().repartition(parts, "path").mapInArrow(
         _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
