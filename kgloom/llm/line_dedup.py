@@ -9,11 +9,14 @@ Lines of fewer than ``min_tokens`` tokens are left alone.
    give one order of tokens from rare to frequent (ties: by hash).
 2. Lines with equal token sets form a class, stood for by its earliest line; all
    others go.
-3. Representatives are joined on their prefix: two sets that overlap in ``o`` of
-   ``n`` tokens share at least ``SHARED`` of their first n - o + SHARED tokens.
-   Length and positional bounds are part of the join condition.  In a first turn
-   each line meets only the earliest line of each prefix token; lines that go
-   there need no other partner.  A second turn joins the rest with all.
+3. Representatives are joined on their prefix: two sets of that similarity share
+   at least one of their first n - ceil(percent * n / 100) + 1 tokens.  Length and
+   positional bounds are part of the join condition, and so is a bound on the
+   overlap from 64 parity bits of each set (a differing bit needs a token that
+   only one set has).  Tokens of at most ``COMMON`` prefixes are joined with
+   themselves.  For the others each line first meets only the earliest line of
+   each token, and lines that go there need no other partner; then the rest
+   meets all.
 4. Jaccard is computed on full token sets.
 
 Tokens are 64-bit names of words.  The class counts have a fixed size (1 MB), so
@@ -24,15 +27,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgloom.llm.common import keyed, native_words, small, staged, table
 from kgloom.llm.rarity import levels, possible, prefix_size, rare_first
 
 PERCENT = 85
 MIN_TOKENS = 5
-SHARED = 2
-BROADCAST_ROWS = 200_000      # documents with candidate lines, an id and some line numbers each
+COMMON = 32                   # prefixes that hold a token before its lines meet the earliest one first
+BROADCAST_ROWS = 200_000      # common tokens, or documents with candidate lines (an id and some line numbers each)
 _KEY = ["id", "line", "rid"]
 
 
@@ -48,8 +50,28 @@ def _earlier(a: str, b: str):
     return F.struct(*[F.col(f"{a}{c}") for c in _KEY]) < F.struct(*[F.col(f"{b}{c}") for c in _KEY])
 
 
-def _possible(x: str, y: str, percent: int):
-    return possible(F.col(f"{x}n"), F.col(f"{x}at"), F.col(f"{y}n"), F.col(f"{y}at"), percent)
+def _parity(tokens):
+    """64 bits: for each class of tokens, whether the set holds an odd number of them."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(
+        F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))))
+
+
+def _apart():
+    return F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+
+
+def _possible(percent: int):
+    """x is the earlier line, and no bound rules the pair (x, y) out."""
+    nx, ny = F.col("x.n"), F.col("y.n")
+    need = F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9)
+    return (
+        (F.struct("x.id", "x.line") < F.struct("y.id", "y.line"))
+        & possible(nx, F.col("x.at"), ny, F.col("y.at"), percent) & (_apart() <= nx + ny - 2 * need))
+
+
+def _pair():
+    return [F.col("x.id").alias("xd"), F.col("x.line").alias("xl"), F.col("y.id").alias("yd"), F.col("y.line").alias("yl")]
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -78,40 +100,34 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     words = rows.select(F.explode(native_words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("name"))
     lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") >= min_tokens).select(*_KEY, "t")
     lines = rare_first(lines, "t", levels(words)).withColumn("n", F.size("t"))
-    keep = prefix_size(F.col("n"), percent, SHARED)
     # Joins of prefixes use 31 bits of a token: a clash can only add a candidate.
-    short = F.transform(F.slice("t", F.lit(1), keep), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = staged(lines.select(*_KEY, "n", F.xxhash64("t").alias("f1"), F.xxhash64(F.lit(1), F.reverse("t")).alias("f2"),
-                                short.alias("prefix")), "lines")
-    first = lines.groupBy("f1", "f2", "n").agg(F.min(F.struct(*_KEY, "prefix")).alias("r"), F.count("*").alias("c"))
-    first = staged(first.select("f1", "f2", "n", "c", "r.*"), "line_classes")
-    many = first.where("c > 1").select("f1", "f2", "n", *[F.col(c).alias(f"r_{c}") for c in _KEY])
-    copies = lines.select(*_KEY, "f1", "f2", "n").join(many, ["f1", "f2", "n"]).where(_earlier("r_", "")).select(*_KEY)
+    prefix = F.slice("t", F.lit(1), prefix_size(F.col("n"), percent, 1))
+    short = F.transform(prefix, lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
+    # A class of equal sets is named by a hash, the parity bits and the size.
+    lines = staged(lines.select(*_KEY, "n", F.xxhash64("t").alias("f"), _parity(F.col("t")).alias("bits"), short.alias("prefix")), "lines")
+    same = ["f", "bits", "n"]
+    first = lines.groupBy(*same).agg(F.min(F.struct(*_KEY, "prefix")).alias("r"), F.count("*").alias("c"))
+    first = staged(first.select(*same, "c", "r.*"), "line_classes")
+    many = first.where("c > 1").select(*same, *[F.col(c).alias(f"r_{c}") for c in _KEY])
+    copies = lines.select(*_KEY, *same).join(many, same).where(_earlier("r_", "")).select(*_KEY)
 
     # A document and a line number address a line; rows that repeat an id are told apart in _verified.
-    entry = first.select("id", "line", "n", F.posexplode("prefix").alias("at", "token"))
-    lead = entry.groupBy("token").agg(F.min(F.struct("id", "line", "n", "at")).alias("x"), F.count("*").alias("c"))
-    lead = lead.where("c > 1").select("token", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("id", "line", "n", "at")])
-    other = (F.col("id") != F.col("x_id")) | (F.col("line") != F.col("x_line"))
-    meets = other & _possible("x_", "", percent)
-    met = staged(entry.join(lead, "token").select(
-        "token", "id", "line", "n", "at", F.when(meets, F.struct(F.col("x_id").alias("id"), F.col("x_line").alias("line"))).alias("x")), "prefix_entries")
-    best = Window.partitionBy("id", "line").orderBy(F.desc("c"), "x")           # at most a prefix of leaders of a line
+    entry = first.select("id", "line", "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    often = first.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    often = small(staged(often.where(F.col("c") > COMMON).select("token"), "common_tokens"), BROADCAST_ROWS)
+    few, common = entry.join(often, "token", "leftanti"), staged(entry.join(often, "token", "leftsemi"), "common_entries")
+    lead = common.groupBy("token").agg(F.min(F.struct("id", "line", "n", "bits", "at")).alias("x"))
+    lead = lead.select("token", "x.*")
     pairs = (
-        met.where("x is not null").groupBy("id", "line", "x").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
-        .withColumn("r", F.row_number().over(best)).where("r = 1")
-        .select(F.col("x.id").alias("xd"), F.col("x.line").alias("xl"), F.col("id").alias("yd"), F.col("line").alias("yl"))
+        lead.alias("x").join(common.alias("y"), "token").where(_possible(percent))
+        .groupBy("y.id", "y.line").agg(F.min(F.struct(_apart().alias("d"), *_pair())).alias("p"))
     )
-    pairs = staged(pairs, "leader_pairs")
+    pairs = staged(pairs.select("p.xd", "p.xl", "p.yd", "p.yl"), "leader_pairs")
     gone = staged(_verified(pairs, rows, percent), "gone_lines")
-    e = met.drop("x")
-    x = e.toDF(*["token" if c == "token" else f"x_{c}" for c in e.columns])
-    y = e.join(gone.select("id", "line").distinct(), ["id", "line"], "leftanti")
-    rest = (
-        x.join(y, "token").where((F.struct("x_id", "x_line") < F.struct("id", "line")) & _possible("x_", "", percent))
-        .groupBy(F.col("x_id").alias("xd"), F.col("x_line").alias("xl"), F.col("id").alias("yd"), F.col("line").alias("yl"))
-        .agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c").join(pairs, ["xd", "xl", "yd", "yl"], "leftanti")
-    )
+    left = common.join(gone.select("id", "line").distinct(), ["id", "line"], "leftanti")
+    rest = few.alias("x").join(few.alias("y"), "token").where(_possible(percent)).select(*_pair())
+    rest = rest.unionByName(common.alias("x").join(left.alias("y"), "token").where(_possible(percent)).select(*_pair()))
+    rest = rest.distinct().join(pairs, ["xd", "xl", "yd", "yl"], "leftanti")
     more = _verified(staged(rest, "last_pairs"), rows, percent)
     return copies.unionByName(gone).unionByName(more).distinct()
 

@@ -114,7 +114,9 @@ def test_substring_dedup_by_brute_force(spark, alphabet):
         seen |= set(mine)
 
 
-def test_line_dedup_by_brute_force(spark):
+@pytest.mark.parametrize("common", [1, line_dedup.COMMON])
+def test_line_dedup_by_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(line_dedup, "COMMON", common)
     rng, vocabulary = random.Random(5), [f"v{k}" for k in range(60)]
     base = [rng.sample(vocabulary, rng.randint(3, 25)) for _ in range(12)]
     docs = []
