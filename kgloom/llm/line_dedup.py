@@ -64,10 +64,9 @@ def _apart():
 def _possible(percent: int):
     """x is the earlier line, and no bound rules the pair (x, y) out."""
     nx, ny = F.col("x.n"), F.col("y.n")
-    need = F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9)
-    return (
-        (F.struct("x.id", "x.line") < F.struct("y.id", "y.line"))
-        & possible(nx, F.col("x.at"), ny, F.col("y.at"), percent) & (_apart() <= nx + ny - 2 * need))
+    overlap = 2 * percent * (nx + ny) <= (100 + percent) * (nx + ny - _apart())       # integers, the cheapest test first
+    earlier = (F.col("x.id") < F.col("y.id")) | ((F.col("x.id") == F.col("y.id")) & (F.col("x.line") < F.col("y.line")))
+    return overlap & earlier & possible(nx, F.col("x.at"), ny, F.col("y.at"), percent)
 
 
 def _pair():
