@@ -68,10 +68,10 @@ WIKIDATA = GraphKind(
 class SearchSettings:
     """Widths and limits of one search run.
 
-    ``row_limit`` is the page size of one retrieval (first rows by id per path
-    and direction); ``None`` switches it off.  Reached node sets that later
-    hops start from are never limited, only the candidate lists shown to the
-    scorer are.
+    ``row_limit`` is the page size of one retrieval (first rows by id);
+    ``None`` switches it off.  In chain search only the lists in prompts and
+    reasoning texts are cut to it; answers and node sets are whole.  In the two
+    beams it still cuts the candidates.
     """
 
     relation_width: int = 3
