@@ -3,7 +3,9 @@
 A line is a \\n-separated part of a text, its tokens the distinct words in it.  A
 line goes if an earlier line (smaller document id, or the same document and a
 smaller line number) reaches a Jaccard similarity of ``percent`` on tokens.
-Lines of fewer than ``min_tokens`` tokens are left alone.
+``dedup_lines``, which the pipeline uses, compares every line that has a word.
+``removed_lines`` can leave lines of fewer than ``min_tokens`` tokens alone; the
+registered query does, as its SQL does.
 
 1. Word counts of the whole corpus, gathered in 2**20 classes of word hashes,
    give one order of tokens from rare to frequent (ties: by hash).
@@ -110,6 +112,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     many = first.where("c > 1").select(*same, *[F.col(c).alias(f"r_{c}") for c in _KEY])
     copies = lines.select(*_KEY, *same).join(many, same).where(_earlier("r_", "")).select(*_KEY)
 
+    # One token more or less is already too far for a small set: only its class counts.
+    first = first.where(100 * F.col("n") >= percent * (F.col("n") + 1))
     # A document and a line number address a line; rows that repeat an id are told apart in _verified.
     entry = first.select("id", "line", "n", "bits", F.posexplode("prefix").alias("at", "token"))
     often = first.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
@@ -131,24 +135,25 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     return copies.unionByName(gone).unionByName(more).distinct()
 
 
-def _with_gone(docs: DataFrame, **options) -> DataFrame:
+def _with_gone(docs: DataFrame, percent: int, min_tokens: int) -> DataFrame:
     """``docs`` with the array ``_l_gone`` of line numbers that go (null: none)."""
-    gone = removed_lines(docs, **options).groupBy(F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid")).agg(
+    gone = removed_lines(docs, percent, min_tokens).groupBy(F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid")).agg(
         F.sort_array(F.collect_set("line")).alias("_l_gone"))            # of one document
     return docs.join(
         gone, (F.col("doc_id").cast("long") == F.col("_l_id"))
         & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_l_rid")), "left").drop("_l_id", "_l_rid")
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1) -> DataFrame:
     """``docs`` with the later of similar lines cut from ``text``; columns and rows are kept.
 
+    Lines of any size are compared (from ``min_tokens`` on); only lines without a word stay as they are.
     Null texts and rows with a null id stay as they are.  Rows that repeat an id
     are ordered by line number, then by a hash of their text; equal rows do not
     remove each other's lines, and lines of one id and number only count as
     similar if their token sets are equal.  A text may become empty.  ``n_chars``, where there is one, follows.
     """
-    rows = _with_gone(docs, **options)
+    rows = _with_gone(docs, percent, min_tokens)
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_l_gone", i))
     rows = rows.withColumn("text", F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:

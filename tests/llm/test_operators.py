@@ -141,6 +141,25 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, common):
     assert want and got == want
 
 
+@pytest.mark.parametrize("percent", [line_dedup.PERCENT, 60])
+def test_line_dedup_of_short_lines_by_brute_force(spark, percent):
+    rng, vocabulary = random.Random(6), ["读者留言版", "https://a.example/" + "x" * 300, *[f"v{k}" for k in range(7)]]
+    docs = [(k, "\n".join(" ".join(rng.choices(vocabulary, k=rng.randint(0, 7))) for _ in range(rng.randint(1, 4)))) for k in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect()}
+    earlier, sizes = [], set()
+    for k, text in docs:
+        left = []
+        for line in text.split("\n"):
+            s = set(line.split())
+            if s and any(100 * len(s & e) >= percent * len(s | e) for e in earlier):
+                sizes.add(len(s))
+            else:
+                left.append(line)
+            earlier.append(s)
+        assert got[k] == "\n".join(left), k
+    assert {1, 2, 3, 4} <= sizes
+
+
 def test_minhash_by_brute_force(spark):
     rng = random.Random(9)
     docs, base = [], [[f"{c}{rng.randrange(500)}" for _ in range(120)] for c in "abc"]
