@@ -69,9 +69,8 @@ class SearchSettings:
     """Widths and limits of one search run.
 
     ``row_limit`` is the page size of one retrieval (first rows by id);
-    ``None`` switches it off.  In chain search only the lists in prompts and
-    reasoning texts are cut to it; answers and node sets are whole.  In the two
-    beams it still cuts the candidates.
+    ``None`` switches it off.  Only the lists in prompts and reasoning texts are
+    cut to it; candidates, answers and node sets are whole.
     """
 
     relation_width: int = 3
