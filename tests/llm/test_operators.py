@@ -274,6 +274,30 @@ def test_pieces_are_a_sample_without_replacement():
     assert {tuple(r[0].tolist()) for r in few} == set(p) and all(r[3] == 0 for r in few)
 
 
+def test_pieces_of_long_units_and_blank_runs_are_exact():
+    v = piece_sampling.vocabulary(MODEL)
+    index = {v.text[i].decode().replace(" ", "▁"): i for i in range(259, len(v.text)) if v.text[i]}
+
+    def total(s):
+        mass = [0.0] + [-math.inf] * len(s)
+        for k in range(1, len(s) + 1):
+            mass[k] = np.logaddexp.reduce([mass[j] + v.weight[index[s[j:k]]] for j in range(max(0, k - 16), k) if s[j:k] in index] or [-math.inf])
+        return mass[-1]
+
+    long = "thenotherstation" * 19                       # 304 characters, and 65,600 below
+    for text in (long, long * 216, "one    two   " + long):
+        for ids, logp, _, _ in piece_sampling.sample_texts(v, [text], [3], 2)[0]:
+            assert piece_sampling.decode(v, ids.tolist()) == text
+            assert abs(logp - (v.weight[ids].sum() - total("▁" + text.replace(" ", "▁")))) < 1e-6 * len(text)
+    crossed = 0
+    for k in range(40):
+        ends = np.cumsum([len(v.text[i]) for i in piece_sampling.sample_texts(v, [long], [k], 1)[0][0][0]])
+        crossed += 64 not in ends
+    assert crossed
+    runs = {tuple(v.text[i] for i in r[0]) for r in piece_sampling.sample_texts(v, ["a    b"], [5], 100)[0]}
+    assert (b" a", b"   ", b" b") in runs and (b" a", b"  ", b"  ", b"b") in runs
+
+
 def test_pieces_give_texts_back_in_any_batch():
     import sentencepiece
 
