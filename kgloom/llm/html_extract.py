@@ -10,7 +10,9 @@ by a hash of their id (the only sample here; every page is labelled).  Training
 labels come from the pages' own markup: text of an article or main element
 outside of marked furniture.  Furniture of many names is planted into the
 training sequences, inside and outside the article, so that the model knows
-more of it than the sample shows.
+more of it than the sample shows, and articles are given a div or section of
+varied names.  Pages without an article or main element are not trained on,
+unless all are.
 """
 
 from __future__ import annotations
@@ -35,11 +37,14 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
              "small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = set("script style noscript template svg math iframe object canvas select textarea title head".split())
+IN_HEAD = set("title base basefont bgsound link meta style script noscript noframes template".split())
+IN_SELECT = set("option optgroup hr script template".split())
 RAW = ("script", "style", "textarea", "title")
 FURNITURE = ("nav menu header footer aside sidebar ad ads advert advertisement banner promo sponsor cookie consent notice "
              "form login search comment comments reply related share social breadcrumb pagination widget popup modal "
              "newsletter subscribe legal copyright toolbar").split()
 ARTICLE = {"article", "main"}
+HOLDERS = ["", "content", "post", "entry", "story", "text", "body", "page content", "post body", "entry content", "wrapper"]
 TEXT_TAGS = "h1 h2 h3 h4 p li div blockquote td pre figcaption section dd".split()
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9-]*")
@@ -53,10 +58,13 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     An element's path entry is its tag followed by the words of its class, id and
     role.  Inline elements do not end a block; a line break is white space.
+    A head ends at the first text or element that may not stand in it, a select in
+    the same way; other hidden elements without an end tag in the rest of the page
+    hide nothing.
     """
     out, stack, text = [], [], []
     linked = hidden = links = 0
-    pos, n, no_comment_end, lower = 0, len(page), False, None
+    pos, n, no_comment_end, lower, endless = 0, len(page), False, None, set()
 
     def flush():
         nonlocal linked
@@ -73,9 +81,19 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             links -= tag == "a"
         del stack[k:]
 
+    def leave(tag, allowed):
+        """End a head or select that ``tag`` may not stand in."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == allowed[0] and tag not in allowed[1]:
+                return close(k)
+            if stack[k][0] in HIDDEN_TAGS and stack[k][0] != "noscript":
+                return
+
     while pos < n:
         at = page.find("<", pos)
         at = n if at < 0 else at
+        if at > pos and hidden and stack[-1][0] == "head" and page[pos:at].strip():
+            leave("", ("head", IN_HEAD))
         if at > pos and not hidden:
             piece = htmllib.unescape(page[pos:at]) if "&" in page[pos:at] else page[pos:at]
             text.append(piece)
@@ -102,6 +120,14 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         closed = _END_OF_TAG.match(page, name.end())
         end = closed.end() if closed else page.find(">", name.end()) + 1
         pos = end or n
+        if hidden and nxt != "/":
+            if tag == "body":
+                k = next((k for k, (t, _) in enumerate(stack) if t == "head"), -1)
+                if k >= 0:
+                    close(k)
+            else:
+                leave(tag, ("head", IN_HEAD))
+                leave(tag, ("select", IN_SELECT))
         if tag == "br" or tag in VOID:
             if not hidden:
                 text.append(" ")
@@ -124,9 +150,13 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             while stack and (stack[-1][0] in INLINE or (stack[-1][0] == tag and tag in ("p", "li", "td", "tr", "option"))
                              or (stack[-1][0] == "p")):
                 close(len(stack) - 1)
+        if tag in HIDDEN_TAGS and lower is None:
+            lower = page.lower()
+        if tag in HIDDEN_TAGS and tag not in RAW and tag not in ("head", "select"):
+            if tag in endless or lower.find("</" + tag, pos) < 0:
+                endless.add(tag)
+                continue
         if tag in RAW:
-            if lower is None:
-                lower = page.lower()
             end = lower.find("</" + tag, pos)
             pos = n if end < 0 else end
         stack.append((tag, " ".join(words)))
@@ -277,7 +307,7 @@ def _padded(rows):
 
 
 def markup_label(path: tuple[str, ...]) -> bool:
-    """Weak label: inside an article or main element, and in no furniture."""
+    """Weak label: inside an article or main element, and in no furniture.  Pages without one have no labels."""
     inside = False
     for words in path:
         parts = words.split(" ")
@@ -287,6 +317,11 @@ def markup_label(path: tuple[str, ...]) -> bool:
     return inside
 
 
+def plain_label(path: tuple[str, ...]) -> bool:
+    """Weak label where no page has an article or main element: in no furniture."""
+    return not any(set(words.split(" ")) & set(FURNITURE) for words in path)
+
+
 def _planted(blocks, rng):
     """``blocks`` with some furniture planted at random places; its words come from the page.
 
@@ -316,15 +351,25 @@ def _planted(blocks, rng):
     return out
 
 
+def _renamed(blocks, rng):
+    """``blocks`` with a div or section of any name in place of the article element."""
+    tag, word = ("div", "section")[rng.integers(2)], HOLDERS[rng.integers(len(HOLDERS))]
+    name = f"{tag} {word or f'c{rng.integers(1000)}'}" if rng.random() < 0.8 else tag
+    return [(tuple(name if w.split(" ")[0] in ARTICLE else w for w in p), t, k) for p, t, k in blocks]
+
+
 def train(pages: list[str], seed: int = SEED) -> Labeller:
-    """A labeller for the markup labels of ``pages``; with no usable page it follows planted furniture only."""
+    """A labeller for the markup labels of ``pages``; if none has an article or main element, all but furniture counts as main text."""
     rng = np.random.default_rng(seed)
     rows = []
-    for blocks in filter(None, map(leaves, pages)):
+    every = list(filter(None, map(leaves, pages)))
+    marked = [b for b in every if any(markup_label(p) for p, _, _ in b)]
+    label = markup_label if marked else plain_label
+    for blocks in marked or every:
         for turn in range(3):
             seq = _planted(blocks, rng) if turn else blocks
-            y = np.array([markup_label(p) for p, _, _ in seq], np.float32)
-            x = features(seq)
+            y = np.array([label(p) for p, _, _ in seq], np.float32)
+            x = features(_renamed(seq, rng) if turn == 2 else seq)
             for lo in range(0, len(seq), TRAIN_BLOCKS):
                 rows.append((x[lo:lo + TRAIN_BLOCKS], y[lo:lo + TRAIN_BLOCKS]))
     model = Labeller(PATH_DIM + WORD_DIM + FIGURES, seed=seed)

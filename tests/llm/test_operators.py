@@ -247,6 +247,31 @@ def test_html_extraction_on_held_out_pages(spark):
     assert html_extract.extract(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>One</p></body></html>", ["One"]),
+    ("<head><title>T</title><p>One</p><p>Two</p>", ["One", "Two"]),
+    ("<head><title>T</title>One", ["One"]),
+    ("<head><noscript><link href=x></noscript><style>x</style></head><body>One", ["One"]),
+    ("<div><select><option>x<p>One</p></div>", ["One"]),
+    *((f"<div><{t}><p>One</p></div><p>Two</p>", ["One", "Two"]) for t in "svg iframe object noscript template".split()),
+    ("<div><svg><text>x</text></svg><p>One</p></div>", ["One"]),
+])
+def test_html_hidden_elements_without_an_end_tag(page, want):
+    assert [t for _, t, _ in html_extract.leaves(page)] == want
+
+
+def test_html_main_text_in_a_plain_div(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    model = html_extract.train(pages[:100])
+    for holder in ("div class='story'", "section id='post-body'", "div"):
+        tag = holder.split()[0]
+        other = [re.sub(r"<(/?)(article|main)\b[^>]*>", lambda m: f"</{tag}>" if m[1] else f"<{holder}>", p) for p in pages[100:]]
+        want, got = html_extract.main_texts(pages[100:], model), html_extract.main_texts(other, model)
+        assert sum(a == b for a, b in zip(want, got)) >= 0.9 * len(want), holder
+    plain = html_extract.train([f"<div><p>Some text number {k}.</p><nav>menu</nav></div>" for k in range(40)])
+    assert "Some text number 50." in html_extract.main_texts(["<div><p>Some text number 50.</p><nav>menu</nav></div>"], plain)[0]
+
+
 def test_pieces_are_a_sample_without_replacement():
     v = piece_sampling.vocabulary(MODEL)
     index = {v.text[i].decode().replace(" ", "▁"): i for i in range(259, len(v.text)) if v.text[i]}
