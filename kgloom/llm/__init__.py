@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("substring_dedup", "token_files", "minhash_dedup", "pii", "html_extract", "piece_sampling",
-            "quality_rules", "decontamination", "warc_bundles", "line_dedup", "best_fit_packing")
+            "quality_rules", "decontamination", "warc_bundles", "line_dedup", "best_fit_packing",
+            "importance_resampling")
 
 
 def _gather(what: str) -> dict:
