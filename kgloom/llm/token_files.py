@@ -7,19 +7,11 @@ little-endian; a longer document spans frames of at most ``MOST_TOKENS``), a doc
 seek table.  What a job returns is the table of committed files, written through
 Spark, so files of lost attempts are never read.
 
-Encoding works on pieces that begin at a space after a non-space: the byte-level
-rule never joins characters over such a place, so the pieces' ids put together
-are the text's ids.  Each worker keeps the ids of pieces it has seen.  A new piece
-of letters (and one closing sign) is given to the library's merge model at once,
-any other to its whole encoder.
+Encoding is that of ``batch_bpe``: a batch's distinct words are encoded once.
 """
 
 from __future__ import annotations
 
-import functools
-import os
-import re
-import string
 import zlib
 
 import numpy as np
@@ -30,100 +22,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgloom.llm.batch_bpe import batch_encoder
 from kgloom.llm.common import staged, table, workspace
 from kgloom.llm.seekable import Reader, Writer, attempt_name
 
 END_ID = 2
 FRAME_TOKENS = 65_536
 MOST_TOKENS = 1 << 20
-CACHE_PIECES = 1_000_000        # the piece cache of a worker starts anew beyond this size
-_RUN = re.compile(r"\s ")       # a space after white space: cut by the slower rule
-_CUT = re.compile(r"(?<=\S)(?= )")
-
-
-# The public byte-to-character rule of byte-level vocabularies: printable bytes
-# stand for themselves, the others for the characters from 256 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-_SPACE = chr(_CHARS[32])
-_SIGNS = set(string.punctuation)
-
-
-class _Words(dict):
-    """Ids of " " + word, encoded when first asked for."""
-
-    def __init__(self, tokenizer):
-        self._t, self._model = tokenizer, tokenizer.model
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        self._bytes = [bytes(x) for x in np.arange(size, dtype="<u4").view("u1").reshape(-1, 4)]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _merged(self, word: str) -> bytes:
-        word = _SPACE + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(_CHARS)
-        of = self._bytes
-        return b"".join([of[t.id] for t in self._model.tokenize(word)])
-
-    def __missing__(self, w: str) -> bytes:
-        if w.isalpha():
-            got = self._merged(w)
-        elif w[-1:] in _SIGNS and w[:-1].isalpha():
-            got = self._merged(w[:-1]) + self._bytes[self._model.token_to_id(w[-1])]
-        else:
-            got = self.whole(" " + w)
-        self[w] = got
-        return got
-
-
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs one worker for each core
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        self._special = [x.content for x in t.get_added_tokens_decoder().values()]
-        self._words = _Words(t)
-
-    def __call__(self, text: str) -> bytes:
-        words = self._words
-        if any(s in text for s in self._special):
-            return words.whole(text)
-        if _RUN.search(text):
-            return b"".join([words.whole(p) for p in _CUT.split(text) if p])
-        if len(words) > CACHE_PIECES:
-            words.clear()
-        first, *rest = text.split(" ")
-        return words.whole(first) + b"".join(map(words.__getitem__, rest))
-
-
-@functools.cache
-def encoder_of(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
 
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches):
-        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = batch_encoder(tokenizer, end_id)
         writer, ids, valid, counts, held = None, [], [], [], bytearray()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            if writer is None and texts:
+            if writer is None and len(batch):
                 part = TaskContext.get().partitionId()
                 writer = Writer(folder, attempt_name(part, ".tok.zst"), level=1)
             doc_ids = batch.column("doc_id").to_pylist()
-            for doc, text in zip(doc_ids, texts):
-                body = encoder(text)
-                ids.append(doc or 0)
-                valid.append(doc is not None)
-                counts.append(len(body) // 4 + 1)
-                held += body + end
-                while len(held) >= 4 * MOST_TOKENS:
-                    writer.frame(bytes(held[:4 * MOST_TOKENS]))
-                    del held[:4 * MOST_TOKENS]
+            ids += [doc or 0 for doc in doc_ids]
+            valid += [doc is not None for doc in doc_ids]
+            tokens, lens = encoder.encode(batch.column("text"))
+            counts += lens.tolist()
+            body, ends = memoryview(tokens).cast("B"), 4 * np.cumsum(lens)
+            at = 0
+            while at < len(body):
+                # whole documents up to FRAME_TOKENS, or MOST_TOKENS of a longer one
+                k = int(np.searchsorted(ends, at + 4 * FRAME_TOKENS - len(held)))
+                end = int(ends[k]) if k < len(ends) else len(body)
+                end = min(end, at + 4 * MOST_TOKENS - len(held))
+                held += body[at:end]
+                at = end
                 if len(held) >= 4 * FRAME_TOKENS:
                     writer.frame(bytes(held))
                     held = bytearray()
