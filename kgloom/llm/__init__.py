@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = ("substring_dedup", "token_files", "minhash_dedup", "pii", "html_extract", "piece_sampling",
             "quality_rules", "decontamination", "warc_bundles", "line_dedup", "best_fit_packing",
-            "importance_resampling")
+            "importance_resampling", "hard_negatives")
 
 
 def _gather(what: str) -> dict:

@@ -31,7 +31,7 @@ def as_rows(names, rows):
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = llm.queries()[name](spark, SF)
     cur = con.execute(llm.oracle_sql()[name])
