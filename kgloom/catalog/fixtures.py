@@ -19,7 +19,7 @@ class Fixture:
     _known: dict[tuple[str, str], "Fixture"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
         self._written: dict[str, DataFrame] = {}
 
@@ -77,6 +77,6 @@ class Fixture:
     def chain_paths(self) -> DataFrame:
         """One path per question along its family's chain."""
         hop = F.transform(F.split("sig", " "), lambda s: F.struct(
-            F.substring(s, 3, 200).alias("id"), s.startswith("->").alias("fwd")))
+            F.substring(s, F.lit(3), F.length(s)).alias("id"), s.startswith("->").alias("fwd")))
         return self.questions.select(
             F.col("qid").alias("path_id"), F.col("topic_id").alias("node"), hop.alias("chain"))

@@ -89,25 +89,29 @@ def constraint_pairs(fx):
 
 
 @query("G8_match_pattern", with_ctes("triples", """
-SELECT DISTINCT a.subj AS path_id, c.subj AS node FROM triples a
+, pairs AS (SELECT DISTINCT a.subj AS path_id, c.subj AS node FROM triples a
 JOIN triples b ON b.subj = a.obj AND b.pred = 'geo.nation.region'
 JOIN triples b2 ON b2.obj = b.obj AND b2.pred = 'geo.nation.region'
 JOIN triples c ON c.obj = b2.subj AND c.pred = 'org.supplier.nation'
 WHERE a.pred = 'org.supplier.nation' AND c.subj <> a.subj
 AND EXISTS (SELECT 1 FROM triples k JOIN triples s ON s.subj = k.subj AND s.pred = 'org.customer.segment'
-  WHERE k.pred = 'org.customer.nation' AND k.obj = b2.subj AND s.obj = 'MACHINERY')"""))
+  WHERE k.pred = 'org.customer.nation' AND k.obj = b2.subj AND s.obj = 'MACHINERY'))
+SELECT 'path' AS side, path_id AS id, count(*) AS n_links FROM pairs GROUP BY path_id
+UNION ALL SELECT 'node', node, count(*) FROM pairs GROUP BY node"""))
 def match_pattern(fx):
-    """Other suppliers of the same region in a nation with a MACHINERY customer."""
+    """Other suppliers of the same region in a nation with a MACHINERY customer: links of either side."""
     suppliers = fx.triples.where("pred = 'org.supplier.nation'").select(
         F.col("subj").alias("path_id"), F.col("subj").alias("node"))
     segment = fx.triples.where("pred = 'org.customer.segment' AND obj = 'MACHINERY'").select(
         g.term_key(F.col("obj"), F.col("obj_kind"), F.col("obj_lang")).alias("node")).distinct()
-    return g.match_pattern(
+    found = g.match_pattern(
         suppliers, fx.graph,
         [("org.supplier.nation", True), ("geo.nation.region", True),
          ("geo.nation.region", False), ("org.supplier.nation", False)],
         [("org.supplier.nation", True), ("org.customer.nation", False), ("org.customer.segment", True)],
         segment)
+    return found.path_links().select(F.lit("path").alias("side"), F.col("path_id").alias("id"), "n_links").unionByName(
+        found.node_links().select(F.lit("node").alias("side"), F.col("node").alias("id"), "n_links"))
 
 
 @query("G9_direction_join", with_ctes("topics adj", """

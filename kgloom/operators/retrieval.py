@@ -1,11 +1,19 @@
 """Graph retrieval: relation discovery, hops, constraints and label lookup.
 
-The graph is held as three tables derived from ``triples`` once:
+The graph is held as tables derived from ``triples`` once, laid out for the joins
+that read them:
 
-* ``edges``    every triple from both of its ends, salted at hub nodes;
-* ``summary``  distinct (node, direction, relation), which answers all
-  relation look-ups without touching edges;
-* ``hubs``     nodes whose degree exceeds the hub bound, with their salt count.
+* ``edges``    every triple from both of its ends, bucketed and sorted by
+  (node, pred, fwd, salt).  A hop joins on just these keys, so only the frontier
+  moves to the buckets; edges stay where they are;
+* ``summary``  distinct (node, fwd, pred) with its number of edges, bucketed by
+  node; it answers all relation look-ups without touching edges;
+* ``hubs``     the (node, pred, fwd) groups above the hub bound, whose edges are
+  spread over salts.
+
+Walks keep their reached nodes as named sets: the name is the number of nodes and
+two exclusive ors of their hashes, so walks that reach the same nodes, from
+whatever topics, share one set, and a set is expanded once for each move.
 
 A node is identified by its term: an id for URIs, a quoted text for literals.
 ``fwd`` is true when the node is the subject of the relation.
@@ -13,31 +21,38 @@ A node is identified by its term: an id for URIs, a quoted text for literals.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import terms
 from kgloom.settings import NAME_PREDICATE, SAME_AS, UNNAMED, GraphKind
-from kgloom.skew import staged, top_per_group
+from kgloom.skew import staged, top_per_group, workspace
 
-HUB_DEGREE = 1_000_000   # edges of one node that one task may hold
-MAX_HUBS = 10_000        # hub list is broadcast, so its size is bounded
+HUB_DEGREE = 1_000_000      # edges of one (node, pred, fwd) that one task may hold
+BUCKET_ROWS = 4_000_000     # edges of a bucket, about
+CROWD_ROWS = 10_000         # frontier rows at one (node, pred, fwd) that are joined in one place
+CROWD_PAIRS = 5_000_000     # joined rows of a crowd that one task makes
+EDGE_KEYS = ["node", "pred", "fwd", "salt"]
+NODE_SET = ["set_id", "node", "value", "kind", "lang"]
 
 
 @dataclass(frozen=True)
 class Graph:
-    edges: DataFrame      # node, fwd, pred, nbr, nbr_value, nbr_kind, nbr_lang, salt
+    edges: DataFrame      # node, pred, fwd, salt, nbr, nbr_value, nbr_kind, nbr_lang
     summary: DataFrame    # node, fwd, pred, n_edges
-    hubs: DataFrame       # node, n_salts
+    hubs: DataFrame       # node, pred, fwd, n_salts
     labels: DataFrame     # id, label, lang
     relation_labels: DataFrame  # rel, label, lang
 
 
 def term_key(value: Column, kind: Column, lang: Column) -> Column:
     """Identity of a term: literals are equal only with equal kind and language."""
-    return F.when(kind == "uri", value).otherwise(
+    return F.when(kind.isin("uri", "bnode"), value).otherwise(
         F.concat(F.lit('"'), value, F.lit('"@'), lang, F.when(kind == "typed-literal", "^").otherwise(""))
     )
 
@@ -58,36 +73,48 @@ def adjacency(triples: DataFrame) -> DataFrame:
 
 
 def hub_list(summary: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
-    """Nodes above ``hub_degree`` edges, at most ``MAX_HUBS``, with salt counts."""
-    return (
-        summary.groupBy("node").agg(F.sum("n_edges").alias("degree"))
-        .where(F.col("degree") > hub_degree)
-        .orderBy(F.desc("degree"), "node").limit(MAX_HUBS)
-        .select("node", F.ceil(F.col("degree") / hub_degree).cast("int").alias("n_salts"))
-    )
+    """(node, pred, fwd) groups above ``hub_degree`` edges, with salt counts: all of them.
+
+    Every listed group has that many edges, so the list is smaller than the graph
+    by this factor; joins broadcast it only while Spark finds it small.
+    """
+    return summary.where(F.col("n_edges") > hub_degree).select(
+        "node", "pred", "fwd", F.ceil(F.col("n_edges") / hub_degree).cast("int").alias("n_salts"))
 
 
 def salt_edges(adj: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Spread each hub's edges over its salts; all other nodes have salt 0."""
-    salt = F.when(F.col("n_salts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("pred", "nbr"), F.col("n_salts")).cast("int")
-    )
-    return adj.join(F.broadcast(hubs), "node", "left").withColumn("salt", salt).drop("n_salts")
+    """Spread each hub's edges over its salts; all other edges have salt 0."""
+    salt = F.when(F.col("n_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("nbr"), F.col("n_salts")).cast("int"))
+    return adj.join(hubs, ["node", "pred", "fwd"], "left").withColumn("salt", salt).drop("n_salts")
 
 
-def build_graph(triples: DataFrame, relation_labels: DataFrame, hub_degree: int = HUB_DEGREE) -> Graph:
-    """Derive and write the graph tables; later queries read them back.
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` as a table bucketed and sorted by ``keys``, its files in the shared folder.
 
-    Edges are clustered by node so that a later hop reads narrow row groups.
+    Rows are dealt by the same hash first, so a bucket is one file.
     """
+    spark = df.sparkSession
+    table = f"kgloom_{name}_{uuid.uuid4().hex}"
+    path = os.path.join(workspace(spark), "kgloom", spark.sparkContext.applicationId, table)
+    df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def build_graph(triples: DataFrame, relation_labels: DataFrame, hub_degree: int = HUB_DEGREE) -> Graph:
+    """Derive and write the graph tables; later queries read them back."""
+    spark = triples.sparkSession
     adj = adjacency(triples)
-    summary = staged(
-        adj.groupBy("node", "fwd", "pred").agg(F.count(F.lit(1)).alias("n_edges")), "summary"
-    )
-    hubs = staged(hub_list(summary, hub_degree), "hubs")
-    edges = salt_edges(adj, hubs).repartition("node", "salt").sortWithinPartitions("node", "pred")
-    return Graph(staged(edges, "edges"), summary, hubs,
-                 staged(name_labels(triples), "labels"), relation_labels)
+    counts = staged(adj.groupBy("node", "fwd", "pred").agg(F.count(F.lit(1)).alias("n_edges")), "summary")
+    groups, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n_edges"), F.lit(0))).first()
+    hubs = staged(hub_list(counts, hub_degree), "hubs")
+    edges = bucketed(salt_edges(adj, hubs).select(*EDGE_KEYS, "nbr", "nbr_value", "nbr_kind", "nbr_lang"), "edges",
+                     EDGE_KEYS, bucket_count(spark, rows))
+    summary = bucketed(counts, "summary", ["node"], bucket_count(spark, groups))
+    return Graph(edges, summary, hubs, staged(name_labels(triples), "labels"), relation_labels)
 
 
 def name_labels(triples: DataFrame) -> DataFrame:
@@ -100,20 +127,47 @@ def name_labels(triples: DataFrame) -> DataFrame:
 
 # -- hops ---------------------------------------------------------------------
 
-def hop(paths: DataFrame, graph: Graph) -> DataFrame:
-    """One step along ``(pred, fwd)`` of each path row; hub nodes join by salt."""
-    salted = paths.join(F.broadcast(graph.hubs), "node", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1))
-    ).drop("n_salts")
-    return salted.join(graph.edges, ["node", "salt", "pred", "fwd"])
+def _salted(paths: DataFrame, graph: Graph) -> DataFrame:
+    """Frontier rows with a salt; those at hubs once for each salt."""
+    every = F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)
+    return paths.join(graph.hubs, ["node", "pred", "fwd"], "left").withColumn("salt", F.explode(every)).drop("n_salts")
+
+
+def crowds(paths: DataFrame, graph: Graph, rows: int = CROWD_ROWS, pairs: int = CROWD_PAIRS) -> DataFrame | None:
+    """(node, pred, fwd, parts) where more than ``rows`` of ``paths`` meet; None where no crowd meets.
+
+    ``parts`` divides the joined rows (frontier rows times edges) into tasks of about ``pairs``.
+    The heavy groups are written first, so that what is joined with the summary has a known size.
+    """
+    heavy = staged(paths.groupBy("node", "pred", "fwd").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows), "crowds")
+    if heavy.isEmpty():
+        return None
+    parts = F.ceil(F.col("_n") * F.col("n_edges") / pairs).cast("int")
+    return staged(heavy.join(graph.summary, ["node", "pred", "fwd"]).select("node", "pred", "fwd", parts.alias("parts")), "crowds")
+
+
+def hop(paths: DataFrame, graph: Graph, rows: int = CROWD_ROWS, pairs: int = CROWD_PAIRS) -> DataFrame:
+    """One step along ``(pred, fwd)`` of each path row, with the neighbour's columns.
+
+    Rows at one (node, pred, fwd) meet its edges in the edges' bucket.  Where a
+    crowd of rows meets there, the rows are dealt over parts and that group's few
+    edges are repeated for each part, so no task joins a whole crowd.
+    """
+    keys = ["node", "pred", "fwd"]
+    crowd = crowds(paths, graph, rows, pairs)
+    if crowd is None:
+        return _salted(paths, graph).join(graph.edges, EDGE_KEYS)
+    quiet = _salted(paths.join(crowd, keys, "left_anti"), graph).join(graph.edges, EDGE_KEYS)
+    part = F.pmod(F.xxhash64(*paths.columns), F.col("parts")).cast("int")
+    dealt = _salted(paths.join(crowd, keys), graph).withColumn("_part", part).drop("parts")
+    repeated = graph.edges.join(crowd, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    loud = dealt.join(repeated, [*EDGE_KEYS, "_part"]).drop("_part")
+    return quiet.unionByName(loud)
 
 
 def direction_join(frontier: DataFrame, graph: Graph) -> DataFrame:
-    """All (relation, direction, neighbour) of each frontier node."""
-    salted = frontier.join(F.broadcast(graph.hubs), "node", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1))
-    ).drop("n_salts")
-    return salted.join(graph.edges, ["node", "salt"]).drop("salt")
+    """All (relation, direction, neighbour) of each frontier node: its moves by the summary, then a hop."""
+    return hop(frontier.join(graph.summary.drop("n_edges"), "node"), graph).drop("salt")
 
 
 def relations_at(paths: DataFrame, graph: Graph, keys: list[str]) -> DataFrame:
@@ -131,35 +185,75 @@ def tail_relations(frontier: DataFrame, graph: Graph) -> DataFrame:
     return frontier.join(graph.summary.where("NOT fwd"), "node").select(*frontier.columns, "pred").distinct()
 
 
-def walk(paths: DataFrame, graph: Graph, max_hops: int) -> DataFrame:
-    """End nodes of ``chain`` for each path: ``(path_id, node, value, kind, lang)``.
+def set_name(n: Column, first: Column, second: Column) -> Column:
+    return F.concat_ws("-", F.hex(n), F.hex(first), F.hex(second))
+
+
+def single_sets(nodes: DataFrame) -> DataFrame:
+    """(node, set_id): each distinct node's set of one, named as ``named_sets`` names it."""
+    node = F.col("node")
+    return nodes.select("node").distinct().select(
+        "node", set_name(F.lit(1).cast("long"), F.xxhash64(node), F.xxhash64(node, F.lit(1))).alias("set_id"))
+
 
-    ``chain`` is array<struct<id,fwd>>.  One join per hop, reached nodes kept
-    distinct per path, so repeated sub-walks never multiply.
+def named_sets(reached: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, set_id): the name of each group's set of nodes; ``reached`` holds each node of a group once."""
+    node = F.col("node")
+    return reached.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64(node)).alias("_x"), F.bit_xor(F.xxhash64(node, F.lit(1))).alias("_y")
+    ).select(*keys, set_name(F.col("_n"), F.col("_x"), F.col("_y")).alias("set_id"))
+
+
+def step_sets(moves: DataFrame, sets: DataFrame, graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """Expand each (set_id, pred, fwd) of ``moves`` once.
+
+    Returns the written tables (from_set, pred, fwd, set_id) of moves that reach
+    something and ``NODE_SET`` of the distinct sets they reach.
     """
-    live = paths.select(
-        "path_id", "node", "chain", F.col("node").alias("value"),
-        F.lit("uri").alias("kind"), F.lit("").alias("lang"),
-    )
-    done = live.where(F.size("chain") == 0).where(F.lit(False))
+    keys = ["from_set", "pred", "fwd"]
+    stand = moves.select("set_id", "pred", "fwd").distinct().join(sets.select("set_id", "node"), "set_id")
+    reached = staged(hop(stand.withColumnRenamed("set_id", "from_set"), graph).select(
+        *keys, F.col("nbr").alias("node"), F.col("nbr_value").alias("value"), F.col("nbr_kind").alias("kind"),
+        F.col("nbr_lang").alias("lang")).distinct(), "reached")
+    named = staged(named_sets(reached, keys), "named")
+    one = named.groupBy("set_id").agg(F.min(F.struct(*keys)).alias("m")).select("set_id", "m.*")
+    return named, staged(reached.join(one, keys).select(*NODE_SET), "sets")
+
+
+def walk_sets(paths: DataFrame, graph: Graph, max_hops: int) -> tuple[DataFrame, DataFrame]:
+    """(path_id, step, set_id) of each chain's end and the ends' nodes (step, ``NODE_SET``).
+
+    ``chain`` is array<struct<id,fwd>>; a path that reaches nothing has no row.
+    Work at a hop grows with the distinct sets, not with the paths that reach them.
+    """
+    first = single_sets(paths)
+    live = paths.select("path_id", "node", "chain").join(first, "node").drop("node")
+    sets = first
+    ends, nodes = [], []
     for step in range(max_hops):
         here = F.get("chain", F.lit(step))
         todo = live.where(F.size("chain") > step).select(
-            "path_id", "node", "chain", here["id"].alias("pred"), here["fwd"].alias("fwd")
-        )
-        live = hop(todo, graph).select(
-            "path_id", F.col("nbr").alias("node"), "chain", F.col("nbr_value").alias("value"),
-            F.col("nbr_kind").alias("kind"), F.col("nbr_lang").alias("lang"),
-        ).distinct()
-        done = done.unionByName(live.where(F.size("chain") == step + 1))
-    return done.drop("chain")
+            "path_id", "chain", "set_id", here["id"].alias("pred"), here["fwd"].alias("fwd"))
+        named, sets = step_sets(todo, sets, graph)
+        live = todo.withColumnRenamed("set_id", "from_set").join(named, ["from_set", "pred", "fwd"]).select("path_id", "chain", "set_id")
+        done = live.where(F.size("chain") == step + 1).select("path_id", F.lit(step).alias("step"), "set_id")
+        ends.append(done)
+        nodes.append(sets.join(done.select("set_id").distinct(), "set_id", "left_semi").select(F.lit(step).alias("step"), *NODE_SET))
+    return reduce(DataFrame.unionByName, ends), reduce(DataFrame.unionByName, nodes)
+
+
+def walk(paths: DataFrame, graph: Graph, max_hops: int) -> DataFrame:
+    """End nodes of ``chain`` for each path: ``(path_id, node, value, kind, lang)``."""
+    ends, nodes = walk_sets(paths, graph, max_hops)
+    return ends.join(nodes, ["step", "set_id"]).select("path_id", "node", "value", "kind", "lang")
 
 
 def relations_after_chain(paths: DataFrame, graph: Graph, max_hops: int) -> DataFrame:
     """Relations at all end nodes of a chain, pooled; an empty chain is the root."""
-    roots = paths.where(F.size("chain") == 0).select("path_id", "node")
-    ends = roots.unionByName(walk(paths, graph, max_hops).select("path_id", "node"))
-    return relations_at(ends, graph, ["path_id"])
+    roots = relations_at(paths.where(F.size("chain") == 0).select("path_id", "node"), graph, ["path_id"])
+    ends, nodes = walk_sets(paths, graph, max_hops)
+    found = relations_at(nodes, graph, ["step", "set_id"])          # once for each set
+    return roots.unionByName(ends.join(found, ["step", "set_id"]).select("path_id", "fwd", "pred"))
 
 
 def entities_after_chain(paths: DataFrame, graph: Graph, max_hops: int) -> DataFrame:
@@ -202,25 +296,57 @@ def keep_constrained(targets: DataFrame, graph: Graph, pred: str, fwd: bool, all
     return targets.join(good.select("target"), "target", "left_semi")
 
 
+def reaches(constant: DataFrame, graph: Graph, tail: list[tuple[str, bool]]) -> DataFrame:
+    """Distinct nodes from which ``tail`` leads to a node of ``constant``: walked from its end, set at a time."""
+    here = constant.select("node").distinct()
+    for pred, fwd in reversed(tail):
+        step = here.select("node", F.lit(pred).alias("pred"), F.lit(not fwd).alias("fwd"))
+        here = hop(step, graph).select(F.col("nbr").alias("node")).distinct()
+    return here
+
+
+@dataclass(frozen=True)
+class Matches:
+    """Matches of a pattern, factorised: linear in the edges, not in the pairs."""
+
+    paths: DataFrame      # path_id, topic, set_id
+    sets: DataFrame       # set_id, node: the nodes that every path of the set matches, but its own topic
+
+    def path_links(self) -> DataFrame:
+        """(path_id, n_links): how many nodes each path matches; paths without any have no row."""
+        sizes = self.sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+        own = self.paths.join(self.sets.withColumnRenamed("node", "topic").withColumn("own", F.lit(1)), ["set_id", "topic"], "left")
+        left = F.col("n") - F.coalesce("own", F.lit(0))
+        return own.join(sizes, "set_id").select("path_id", left.alias("n_links")).where("n_links > 0")
+
+    def node_links(self) -> DataFrame:
+        """(node, n_links): how many paths match each node; nodes without any have no row."""
+        users = self.paths.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+        own = self.paths.groupBy("set_id", F.col("topic").alias("node")).agg(F.count(F.lit(1)).alias("own"))
+        each = self.sets.join(users, "set_id").join(own, ["set_id", "node"], "left")
+        return each.groupBy("node").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias("n_links")).where("n_links > 0")
+
+    def opened(self, paths: DataFrame) -> DataFrame:
+        """(path_id, node) of the asked ``paths`` (path_id) only."""
+        asked = self.paths.join(paths.select("path_id").distinct(), "path_id", "left_semi")
+        return asked.join(self.sets, "set_id").where("node <> topic").select("path_id", "node")
+
+
 def match_pattern(paths: DataFrame, graph: Graph, steps: list[tuple[str, bool]],
                   tail: list[tuple[str, bool]], constant: DataFrame,
-                  languages: tuple[str, ...] = ("", "en")) -> DataFrame:
+                  languages: tuple[str, ...] = ("", "en")) -> Matches:
     """Conjunctive pattern: a walk, an existential tail ending in a constant,
-    ``x != topic`` and a language rule for literals."""
-    def chain(hops):
-        return F.array(*[F.struct(F.lit(p).alias("id"), F.lit(d).alias("fwd")) for p, d in hops])
-
-    topic = paths.select("path_id", F.col("node").alias("topic"))
-    ends = walk(paths.withColumn("chain", chain(steps)), graph, len(steps)).join(topic, "path_id")
-    kept = ends.where(
-        (F.col("node") != F.col("topic")) & ((F.col("kind") == "uri") | F.col("lang").isin(*languages))
-    )
-    starts = kept.select(F.col("node").alias("path_id"), "node").distinct().withColumn("chain", chain(tail))
-    holds = (
-        walk(starts, graph, len(tail)).join(constant, "node", "left_semi")
-        .select(F.col("path_id").alias("node")).distinct()
-    )
-    return kept.join(holds, "node", "left_semi").select("path_id", "node")
+    ``x != topic`` and a language rule for literals.
+
+    Semijoins from both ends: the walk keeps what topics reach, ``reaches`` what
+    leads to the constant; they meet in the walk's last sets.
+    """
+    chain = F.array(*[F.struct(F.lit(p).alias("id"), F.lit(d).alias("fwd")) for p, d in steps])
+    ends, nodes = walk_sets(paths.withColumn("chain", chain), graph, len(steps))
+    kept = nodes.where((F.col("kind") == "uri") | F.col("lang").isin(*languages)).join(
+        staged(reaches(constant, graph, tail), "reaching"), "node", "left_semi").select("set_id", "node")
+    topics = paths.select("path_id", F.col("node").alias("topic"))
+    return Matches(staged(ends.join(topics, "path_id").select("path_id", "topic", "set_id"), "matching"), staged(kept, "matched"))
 
 
 def cap_results(df: DataFrame, keys: list[str], order: list[str], n: int = 1000) -> DataFrame:
