@@ -10,8 +10,10 @@ from kgloom.catalog import query
 from kgloom.catalog.ctes import define, with_ctes
 from kgloom.catalog.evaluate import predictions
 from kgloom.reports import cost as cost_report
+from kgloom.settings import FREEBASE
 from kgloom.skew import workspace
 from kgloom.sources import io, prepare
+from kgloom.sources.ntriples import load_triples
 
 
 def scratch(fx, name):
@@ -43,16 +45,57 @@ def read_questions(fx):
     return io.read_questions(fx.spark, path).select("id", "question", F.coalesce(F.size("topic_entity"), F.lit(-1)).alias("n_topics"))
 
 
-@query("A2_read_triples", with_ctes("triples", "SELECT subj, pred, obj, obj_kind, obj_lang FROM triples"))
-def read_triples(fx):
-    """Written as N-Triples text, read back and de-duplicated."""
+NAME_SPACE = "http://rdf.freebase.com/ns/"
+
+
+def nt_lines(fx):
+    """The graph as N-Triples: full URIs, escapes of all kinds, comments, blank nodes, idle and broken lines."""
+    uri = lambda c: F.concat(F.lit(f"<{NAME_SPACE}"), F.col(c), F.lit(">"))
+    body = F.replace(F.replace(F.replace("obj", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("#"), F.lit("\\u0023"))
+    body = F.when(F.col("obj_lang") == "fr", F.replace(F.replace(body, F.lit("a"), F.lit("\\U00000061")), F.lit("e"), F.lit("\\u0065"))).otherwise(body)
+    tag = F.when(F.col("obj_lang") != "", F.concat(F.lit("@"), F.upper("obj_lang"))).when(
+        F.col("obj_kind") == "typed-literal", F.lit("^^<http://www.w3.org/2001/XMLSchema#date>")).otherwise("")
+    obj = F.when(F.col("obj_kind") == "uri", uri("obj")).otherwise(F.concat(F.lit('"'), body, F.lit('"'), tag))
+    end = F.when(F.col("pred") == "geo.nation.region", '\t. # a comment with "quotes" .').otherwise(" .")
+    lines = fx.triples.select(F.concat(uri("subj"), F.lit(" "), uri("pred"), F.lit("\t"), obj, end).alias("value"))
+    nation = fx["nation"].select(F.col("n_nationkey").alias("k"), "n_name")
+    more = {
+        "blank": F.concat(F.lit("_:n"), "k", F.lit(f" <{NAME_SPACE}geo.note> _:r.1.")),
+        "signs": F.concat(F.lit(f"<m.sign> <{NAME_SPACE}geo.sign> \"\\t\\uD83D\\uDE00\\\\n"), "k", F.lit('\\U0001F600" .')),
+        "idle": F.lit("  # only a comment"), "empty": F.lit(""),
+        "syntax": F.concat(F.lit(f"<m.n> <{NAME_SPACE}geo.note> "), "n_name", F.lit(" .")),
+        "escape": F.concat(F.lit(f"<m.n> <{NAME_SPACE}geo.note> \"\\x"), "k", F.lit('" .')),
+        "code point": F.concat(F.lit(f"<m.n> <{NAME_SPACE}geo.note> \"\\uD83D"), "k", F.lit('" .')),
+    }
+    for text in more.values():
+        lines = lines.unionByName(nation.select(text.alias("value")))
+    return lines
+
+
+def nt_load(fx):
     path = scratch(fx, "triples") + ".nt"
-    obj = F.when(F.col("obj_kind") == "uri", F.concat(F.lit("<"), "obj", F.lit(">"))).otherwise(F.concat(
-        F.lit('"'), "obj", F.lit('"'), F.when(F.col("obj_lang") != "", F.concat(F.lit("@"), "obj_lang"))
-        .when(F.col("obj_kind") == "typed-literal", F.lit("^^<http://www.w3.org/2001/XMLSchema#date>")).otherwise("")))
-    line = F.concat(F.lit("<"), "subj", F.lit("> <"), "pred", F.lit("> "), obj, F.lit(" ."))
-    fx.triples.select(line.alias("value")).write.text(path)
-    return io.read_triples(fx.spark, path)
+    nt_lines(fx).write.text(path)
+    return load_triples(fx.spark, path, FREEBASE)
+
+
+@query("A2_read_triples", with_ctes("triples", """
+SELECT subj, pred, obj, obj_kind, obj_lang FROM triples
+UNION ALL SELECT concat('_:n', n_nationkey), 'geo.note', '_:r.1', 'bnode', '' FROM nation
+UNION ALL SELECT 'm.sign', 'geo.sign', concat(chr(9), chr(128512), chr(92), 'n', n_nationkey, chr(128512)), 'literal', '' FROM nation"""))
+def read_triples(fx):
+    """Written as N-Triples text, read back by the grammar, ids normalized, duplicates gone."""
+    return nt_load(fx).triples
+
+
+@query("A2_read_triples_counts", with_ctes("triples", """
+SELECT '' AS reason, (SELECT count(*) FROM triples) + 2 * count(*) AS n_lines FROM nation
+UNION ALL SELECT r, count(*) * CASE r WHEN 'idle' THEN 2 ELSE 1 END FROM nation, (VALUES ('idle'), ('syntax'), ('escape'), ('code point')) AS v(r) GROUP BY r"""))
+def read_triples_counts(fx):
+    """Lines by outcome; every line is a triple, idle, or in quarantine."""
+    load = nt_load(fx)
+    kept = load.quarantine.groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
+    fine = load.counts.where("reason in ('', 'idle')").groupBy("reason").agg(F.sum("n_lines").alias("n_lines"))
+    return kept.unionByName(fine)
 
 
 @query("A3_read_predictions", with_ctes("pred_rows pred_results", """
