@@ -155,7 +155,7 @@ def pack(pieces: DataFrame, size: int = SIZE, broadcast_moves: int = BROADCAST_M
     moves = best_fit_moves({r.length: r.n for r in histogram}, size)
     places = spark.createDataFrame(moves, MOVES).withColumnRenamed("length", "_length")
     places = F.broadcast(places) if len(moves) <= broadcast_moves else places
-    numbered = pieces.join(parts.drop("n"), ["length", "part"]).withColumn("_nth", F.col("nth") + F.col("before"))
+    numbered = pieces.join(parts.drop("n").hint("merge"), ["length", "part"]).withColumn("_nth", F.col("nth") + F.col("before"))
     nth = F.col("_nth") - F.col("first")
     here = (F.col("length") == F.col("_length")) & (nth >= 0) & (nth < F.col("items"))
     rest = [c for c in pieces.columns if c not in ("length", "part", "nth")]
