@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -47,10 +48,33 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = os.path.join(workspace(spark), "kgloom", app, f"{name}-{uuid.uuid4().hex}")
+    for made in _records:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_records: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded_tables(made: list[str]):
+    """The folders of tables that ``staged`` writes inside the block are added to ``made``."""
+    _records.append(made)
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
+def remove_tables(spark: SparkSession, made: list[str]) -> None:
+    """Delete recorded tables, wherever they lie, once nothing that reads them is left to run."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                   k: int, pos: str = "pos") -> DataFrame:
     """First ``k`` rows of each group, with their 1-based position."""
