@@ -160,8 +160,9 @@ def write_details(fx):
         "trace_order": F.lit(prepare.UNTRACED).cast("long"), "seq": F.monotonically_increasing_id()})
     path = scratch(fx, "details")
     io.write_details(io.nested_details(heads, io.number_steps(flat).drop("trace_order", "seq"), 3), path)
-    read = fx.spark.read.schema(io.DETAILS + ", dataset string, method string").json(path)
-    return read.groupBy("dataset", "method", "id").agg(F.sum(F.greatest(F.lit(0), F.coalesce(F.size("step_history"), F.lit(0)))).alias("n_steps"))
+    read = io.read_step_logs(fx.spark, path).groupBy("id").agg(
+        F.sum(F.greatest(F.lit(0), F.coalesce(F.size("step_history"), F.lit(0)))).alias("n_steps"))
+    return heads.join(read, "id", "left").select("dataset", "method", "id", "n_steps")
 
 
 @query("A7_write_report_csv", with_ctes("hist", """

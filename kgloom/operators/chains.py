@@ -103,9 +103,9 @@ def chain_signature(chain: Column) -> Column:
     return F.when(F.size(chain) == 0, "<root>").otherwise(F.array_join(parts, " "))
 
 
-def render_chain(topic_name: Column, chain: Column, targets: Column | None = None) -> Column:
-    """Chain as lines, with a last line naming the targets if there are any."""
-    lines = chain_nodes(topic_name, chain)
+def render_chain(topic_name: Column, chain: Column, targets: Column | None = None, names: Column | None = None) -> Column:
+    """Chain as lines, with a last line naming the targets if there are any; ``names`` shows relations by name."""
+    lines = chain_nodes(topic_name, chain, names)
     if targets is not None:
         end = F.concat(last_node(topic_name, chain), F.lit(" candidate.target TargetEntity("), targets, F.lit(") ."))
         lines = F.when(F.coalesce(targets, F.lit("")) != "", F.array_append(lines, end)).otherwise(lines)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import terms
-from kgloom.settings import NAME_PREDICATE, SAME_AS, UNNAMED, GraphKind
+from kgloom.settings import FREEBASE, UNNAMED, GraphKind
 from kgloom.skew import staged, top_per_group, workspace
 
 HUB_DEGREE = 1_000_000      # edges of one (node, pred, fwd) that one task may hold
@@ -91,9 +91,11 @@ def salt_edges(adj: DataFrame, hubs: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
     """``df`` as a table bucketed and sorted by ``keys``, its files in the shared folder.
 
-    Rows are dealt by the same hash first, so a bucket is one file.
+    Rows are dealt by the same hash first, so a bucket is one sorted file; the setting
+    lets joins rely on that order, so only the frontier is sorted.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     table = f"kgloom_{name}_{uuid.uuid4().hex}"
     path = os.path.join(workspace(spark), "kgloom", spark.sparkContext.applicationId, table)
     df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
@@ -104,8 +106,13 @@ def bucket_count(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
 
-def build_graph(triples: DataFrame, relation_labels: DataFrame, hub_degree: int = HUB_DEGREE) -> Graph:
-    """Derive and write the graph tables; later queries read them back."""
+def build_graph(triples: DataFrame, relation_labels: DataFrame | None, hub_degree: int = HUB_DEGREE,
+                kind: GraphKind = FREEBASE) -> Graph:
+    """Derive and write the graph tables; later queries read them back.
+
+    Without ``relation_labels`` the names of relations are those that the graph's
+    own property nodes carry.
+    """
     spark = triples.sparkSession
     adj = adjacency(triples)
     counts = staged(adj.groupBy("node", "fwd", "pred").agg(F.count(F.lit(1)).alias("n_edges")), "summary")
@@ -114,17 +121,26 @@ def build_graph(triples: DataFrame, relation_labels: DataFrame, hub_degree: int
     edges = bucketed(salt_edges(adj, hubs).select(*EDGE_KEYS, "nbr", "nbr_value", "nbr_kind", "nbr_lang"), "edges",
                      EDGE_KEYS, bucket_count(spark, rows))
     summary = bucketed(counts, "summary", ["node"], bucket_count(spark, groups))
-    return Graph(edges, summary, hubs, staged(name_labels(triples), "labels"), relation_labels)
+    labels = staged(name_labels(triples, kind), "labels")
+    if relation_labels is None:
+        relation_labels = relation_labels_of(labels, kind)
+    return Graph(edges, summary, hubs, labels, relation_labels)
 
 
-def name_labels(triples: DataFrame) -> DataFrame:
-    """Names and same-as aliases of every subject, with their kind of source."""
-    return triples.where(F.col("pred").isin(NAME_PREDICATE, SAME_AS)).select(
+def name_labels(triples: DataFrame, kind: GraphKind = FREEBASE) -> DataFrame:
+    """Names and aliases of every subject by the graph kind's predicates, with their kind of source."""
+    return triples.where(F.col("pred").isin(*kind.name_predicates, *kind.alias_predicates)).select(
         F.col("subj").alias("id"), F.trim("obj").alias("label"), F.col("obj_lang").alias("lang"),
-        (F.col("pred") == SAME_AS).alias("alias"),
+        F.col("pred").isin(*kind.alias_predicates).alias("alias"),
     ).where(F.col("label") != "")
 
 
+def relation_labels_of(labels: DataFrame, kind: GraphKind) -> DataFrame:
+    """(rel, label, lang): names of the graph's own property nodes; none where relations are no nodes."""
+    named = labels.select(F.col("id").alias("rel"), "label", "lang")
+    return named.where(F.lit(False)) if kind.property_pattern is None else named.where(F.col("rel").rlike(kind.property_pattern))
+
+
 # -- hops ---------------------------------------------------------------------
 
 def _salted(paths: DataFrame, graph: Graph) -> DataFrame:
@@ -212,7 +228,8 @@ def step_sets(moves: DataFrame, sets: DataFrame, graph: Graph) -> tuple[DataFram
     """
     keys = ["from_set", "pred", "fwd"]
     stand = moves.select("set_id", "pred", "fwd").distinct().join(sets.select("set_id", "node"), "set_id")
-    reached = staged(hop(stand.withColumnRenamed("set_id", "from_set"), graph).select(
+    stand = staged(stand.withColumnRenamed("set_id", "from_set"), "stand")        # read twice: counted, then joined
+    reached = staged(hop(stand, graph).select(
         *keys, F.col("nbr").alias("node"), F.col("nbr_value").alias("value"), F.col("nbr_kind").alias("kind"),
         F.col("nbr_lang").alias("lang")).distinct(), "reached")
     named = staged(named_sets(reached, keys), "named")
@@ -227,7 +244,7 @@ def walk_sets(paths: DataFrame, graph: Graph, max_hops: int) -> tuple[DataFrame,
     Work at a hop grows with the distinct sets, not with the paths that reach them.
     """
     first = single_sets(paths)
-    live = paths.select("path_id", "node", "chain").join(first, "node").drop("node")
+    live = staged(paths.select("path_id", "node", "chain").join(first, "node").drop("node"), "walks")
     sets = first
     ends, nodes = [], []
     for step in range(max_hops):
@@ -236,6 +253,7 @@ def walk_sets(paths: DataFrame, graph: Graph, max_hops: int) -> tuple[DataFrame,
             "path_id", "chain", "set_id", here["id"].alias("pred"), here["fwd"].alias("fwd"))
         named, sets = step_sets(todo, sets, graph)
         live = todo.withColumnRenamed("set_id", "from_set").join(named, ["from_set", "pred", "fwd"]).select("path_id", "chain", "set_id")
+        live = staged(live, "walks")
         done = live.where(F.size("chain") == step + 1).select("path_id", F.lit(step).alias("step"), "set_id")
         ends.append(done)
         nodes.append(sets.join(done.select("set_id").distinct(), "set_id", "left_semi").select(F.lit(step).alias("step"), *NODE_SET))

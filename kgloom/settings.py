@@ -12,6 +12,7 @@ WIKIDATA_DIRECT = "http://www.wikidata.org/prop/direct/"
 WIKIDATA_PROP = "http://www.wikidata.org/prop/"
 NAME_PREDICATE = "type.object.name"
 SAME_AS = "http://www.w3.org/2002/07/owl#sameAs"
+RDF_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 
 # Whole-word label terms that mark an id, url or media relation.
 NOISE_TERMS = (
@@ -35,6 +36,8 @@ class GraphKind:
     dropped_fragments: tuple[str, ...]
     languages: tuple[str, ...]
     prune_noisy_labels: bool
+    name_predicates: tuple[str, ...]
+    alias_predicates: tuple[str, ...]
 
 
 FREEBASE = GraphKind(
@@ -48,6 +51,8 @@ FREEBASE = GraphKind(
     dropped_fragments=("sameAs",),
     languages=("en", ""),
     prune_noisy_labels=False,
+    name_predicates=(NAME_PREDICATE,),
+    alias_predicates=(SAME_AS,),
 )
 
 WIKIDATA = GraphKind(
@@ -61,6 +66,8 @@ WIKIDATA = GraphKind(
     dropped_fragments=(),
     languages=("en",),
     prune_noisy_labels=True,
+    name_predicates=(RDF_LABEL,),
+    alias_predicates=(),
 )
 
 

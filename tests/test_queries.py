@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem documents embeddings benchmark conversations".split()
 NAMES = ["N9_drop_noisy_labels", "G4_entities_after_chain", "G12_batch_labels", "R12_relation_prune", "E11_entity_prune",
          "P17_reverse_frontier", "C6_first_terminal", "L8_parse_sufficiency", "V9_numeric_answer_rule", "F7_run_summary",
-         "Q7_merge_step_history", "M1_chain_search"]
+         "Q7_merge_step_history", "M1_chain_search", "M1_chain_search_scores", "M1_chain_search_properties", "G3_relations_after_chain",
+         "G8_match_pattern", "A2_read_triples", "A2_read_triples_counts", "A4_read_step_logs", "A6_write_details", "V2_answer_match"]
 
 
 def rows_of(names, rows):
