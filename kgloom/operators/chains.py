@@ -115,6 +115,7 @@ def render_chain(topic_name: Column, chain: Column, targets: Column | None = Non
 def search_error_rows(questions: DataFrame) -> DataFrame:
     """Questions that cannot start: no topic entity, or none usable."""
     none = F.coalesce(F.size("topic_entity"), F.lit(0)) <= 0
+    # Action and reasons, as result files carry them.
     bad = ~F.exists(F.coalesce("topic_entity", F.array()), lambda t: (F.coalesce(t["id"], F.lit("")) != "") & (F.coalesce(t["name"], F.lit("")) != ""))
     return questions.where(none | bad).select(
         "qid", F.lit("ERROR").alias("action"),

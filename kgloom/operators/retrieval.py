@@ -469,6 +469,7 @@ def retrieval_stats(queries: DataFrame, raw: DataFrame, kept: DataFrame, keys: l
     emptied = (F.col("raw_count") > 0) & (F.col("kept_count") == 0)
     return out.withColumns({
         "filter_caused_empty": emptied,
+        # The messages, as step logs carry them.
         "message": F.when(F.col("kept_count") > 0, "")
         .when(emptied, "No entities remained after filtering.")
         .otherwise("No entities found from current relation chain."),

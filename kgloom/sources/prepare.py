@@ -15,6 +15,7 @@ def validate_questions(df: DataFrame) -> DataFrame:
     def missing(name):
         return F.when(F.col(name).isNull(), F.lit(f"Missing field: {name}"))
 
+    # The reasons, as error files carry them.
     topics = F.col("topic_entity")
     reason = F.coalesce(
         missing("id"), missing("question"), missing("topic_entity"),
