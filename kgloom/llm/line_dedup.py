@@ -3,9 +3,7 @@
 A line is a \\n-separated part of a text, its tokens the distinct words in it.  A
 line goes if an earlier line (smaller document id, or the same document and a
 smaller line number) reaches a Jaccard similarity of ``percent`` on tokens.
-``dedup_lines``, which the pipeline uses, compares every line that has a word.
-``removed_lines`` can leave lines of fewer than ``min_tokens`` tokens alone; the
-registered query does, as its SQL does.
+Every line that has a word is compared, whatever its size.
 
 1. Word counts of the whole corpus, gathered in 2**20 classes of word hashes,
    give one order of tokens from rare to frequent (ties: by hash).
@@ -34,7 +32,6 @@ from kgloom.llm.common import keyed, native_words, small, staged, table
 from kgloom.llm.rarity import levels, possible, prefix_size, rare_first
 
 PERCENT = 85
-MIN_TOKENS = 5
 COMMON = 32                   # prefixes that hold a token before its lines meet the earliest one first
 BROADCAST_ROWS = 200_000      # common tokens, or documents with candidate lines (an id and some line numbers each)
 _KEY = ["id", "line", "rid"]
@@ -95,11 +92,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, rid, line) of every line that goes."""
     rows = keyed(docs).where("id is not null and text is not null")
     words = rows.select(F.explode(native_words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("name"))
-    lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") >= min_tokens).select(*_KEY, "t")
+    lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") > 0).select(*_KEY, "t")
     lines = rare_first(lines, "t", levels(words)).withColumn("n", F.size("t"))
     # Joins of prefixes use 31 bits of a token: a clash can only add a candidate.
     prefix = F.slice("t", F.lit(1), prefix_size(F.col("n"), percent, 1))
@@ -135,25 +132,25 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = MIN
     return copies.unionByName(gone).unionByName(more).distinct()
 
 
-def _with_gone(docs: DataFrame, percent: int, min_tokens: int) -> DataFrame:
+def _with_gone(docs: DataFrame, percent: int) -> DataFrame:
     """``docs`` with the array ``_l_gone`` of line numbers that go (null: none)."""
-    gone = removed_lines(docs, percent, min_tokens).groupBy(F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid")).agg(
+    gone = removed_lines(docs, percent).groupBy(F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid")).agg(
         F.sort_array(F.collect_set("line")).alias("_l_gone"))            # of one document
     return docs.join(
         gone, (F.col("doc_id").cast("long") == F.col("_l_id"))
         & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_l_rid")), "left").drop("_l_id", "_l_rid")
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, min_tokens: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the later of similar lines cut from ``text``; columns and rows are kept.
 
-    Lines of any size are compared (from ``min_tokens`` on); only lines without a word stay as they are.
+    Lines of any size are compared; only lines without a word stay as they are.
     Null texts and rows with a null id stay as they are.  Rows that repeat an id
     are ordered by line number, then by a hash of their text; equal rows do not
     remove each other's lines, and lines of one id and number only count as
     similar if their token sets are equal.  A text may become empty.  ``n_chars``, where there is one, follows.
     """
-    rows = _with_gone(docs, percent, min_tokens)
+    rows = _with_gone(docs, percent)
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_l_gone", i))
     rows = rows.withColumn("text", F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
@@ -180,7 +177,7 @@ with l as materialized (
   select doc_id, i - 1 as line, list_distinct(list_filter(
     regexp_split_to_array(ls[i], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as ws, len(ls) as n_lines
   from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), lateral (select unnest(range(1, len(ls) + 1)) as i)),
-t as materialized (select doc_id, line, len(ws) as n, unnest(ws) as w from l where len(ws) >= {MIN_TOKENS}),
+t as materialized (select doc_id, line, len(ws) as n, unnest(ws) as w from l where len(ws) > 0),
 f as (select w, count(*) as c from t group by w),
 r as materialized (
   select doc_id, line, n, w, row_number() over (partition by doc_id, line order by c, w) as p from t join f using (w)),
