@@ -85,8 +85,10 @@ def _with_items(found: DataFrame, windows: DataFrame, broadcast_rows: int) -> Da
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs, with their columns."""
-    bad = contamination(docs, items, **options).where("n_hit > 0").select(
-        F.col("id").alias("_d_id"), F.col("rid").alias("_d_rid")).distinct()
+    # Written with the number of words: a filter pushed below the words, or words that only the
+    # comparison uses, would be split out of the text again for each candidate.
+    found = staged(contamination(docs, items, **options).select("id", "rid", "n_words", "n_hit"), "contamination")
+    bad = found.where("n_hit > 0").select(F.col("id").alias("_d_id"), F.col("rid").alias("_d_rid")).distinct()
     return docs.join(
         bad, F.xxhash64(F.coalesce("text", F.lit(""))).eqNullSafe(F.col("_d_rid"))
         & F.col("doc_id").cast("long").eqNullSafe(F.col("_d_id")), "leftanti")
