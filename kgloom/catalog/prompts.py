@@ -65,6 +65,6 @@ def evidence_text(fx):
     from kgloom.catalog import entities as ec
     from kgloom.operators import entities as e
 
-    chain = e.beam_chain(e.entity_prune(fx.written("branches"), ec.replies(fx), 3, ec.N, ec.SEED))
+    chain = e.beam_chain(e.entity_prune(fx.rel("branches"), ec.replies(fx), 3, ec.N, ec.SEED))
     triples = F.collect_list(F.struct(F.lit(1).alias("depth"), F.col("beam_pos").alias("pos"), "head", "rel", "tail"))
     return chain.groupBy("qid").agg(t.evidence_text(triples).alias("evidence"))
