@@ -58,3 +58,15 @@ def test_elements_without_a_score_do_not_count(spark):
     replies = spark.createDataFrame([("q", 1, [None, "n"], [None, 2.0])], "qid string, branch int, names array<string>, scores array<double>")
     rows = e.align_scores(cand, replies).orderBy("id").collect()
     assert [(x.place, x.n_scores, x.raw) for x in rows] == [(0, 1, None), (1, 1, 2.0)]
+
+
+def test_pattern_gives_every_pair(spark):
+    df = entry.queries()["G8_match_pattern"](spark, SF)
+    assert sorted(df.columns) == ["node", "path_id"] and df.count() == df.distinct().count()
+
+
+def test_graph_of_moves_holds_no_other_edges(spark):
+    graph = Fixture.of(spark, SF).graph_of(("geo.nation.region", True))
+    assert "edges" not in graph.__dict__            # derived when first read
+    assert [tuple(r) for r in graph.edges.select("pred", "fwd").distinct().collect()] == [("geo.nation.region", True)]
+    assert graph.hubs.count() == 0
