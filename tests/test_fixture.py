@@ -37,7 +37,7 @@ def same(df, con, sql):
     return text(df.select(*names).collect()) == text(want)
 
 
-@pytest.mark.parametrize("name", ["triples", "best_name", "branches", "reply_items"])
+@pytest.mark.parametrize("name", ["triples", "best_name", "branches", "reply_items", "members", "groups"])
 def test_derived_relation_equals_its_sql(spark, odd, name):
     path, con = odd
     assert same(Fixture.of(spark, path).rel(name), con, with_ctes(name, f"SELECT * FROM {name}"))
