@@ -1,11 +1,12 @@
 """Operator 6: SentencePiece sampling without replacement, and decoding.
 
 A text is cut before its runs of blanks into units of any length; no piece crosses
-such a cut, as none has a blank after another character.  Only the blank that the
-format puts before a text stays apart from blanks the text begins with.  The
-lattice of a unit has a node for each character and an edge for each vocabulary piece (bytes
-for characters the vocabulary lacks); the weight of a piece falls with its rank
-in the vocabulary.  Sums over all paths to the end of a unit turn weights into
+such a cut, as none has a blank after another character.  With ``join_lead`` the
+blank that the format puts before a text is one run with blanks the text begins
+with, as in the format; without, it is a unit of its own there.  The lattice of a
+unit has a node for each character and an edge for each vocabulary piece (bytes for
+characters the vocabulary lacks); the weight of a piece falls with its rank in the
+vocabulary.  Sums over all paths to the end of a unit turn weights into
 exact conditional probabilities, so a segmentation of the whole text is a path
 with a known probability.
 
@@ -276,13 +277,13 @@ def _search(lat: Lattices, walks, lo: int, hi: int, unit, seed: int, samples: in
     return found, max((float(s[2].max(initial=-np.inf)) for s in spaces), default=-np.inf)
 
 
-def _units(text: str, vocabulary_index: dict) -> list[int]:
+def _units(text: str, vocabulary_index: dict, join_lead: bool) -> list[int]:
     if not text:
         return []
     if BLANK in text:
         text = text.replace(BLANK, _LITERAL)
-    if "  " in text:
-        head = [] if text[0] != " " else [BLANK]
+    if "  " in text or join_lead and text[0] == " ":
+        head = [] if join_lead or text[0] != " " else [BLANK]
         rest = text if head else " " + text
         parts = head + [p.replace(" ", BLANK) for p in _UNIT.findall(rest)]
     else:
@@ -316,10 +317,11 @@ def decode(v: Vocabulary, ids) -> str:
     return text[1:].decode() if text[:1] == b" " else text.decode()
 
 
-def sample_texts(v: Vocabulary, texts: list[str], seeds: list[int], samples: int = SAMPLES, alpha: float = ALPHA):
+def sample_texts(v: Vocabulary, texts: list[str], seeds: list[int], samples: int = SAMPLES, alpha: float = ALPHA,
+                 join_lead: bool = False):
     """For each text: [(ids, log probability, perturbed score, log inclusion probability)]."""
     index = _Index()
-    units = [_units(t, index) for t in texts]
+    units = [_units(t, index, join_lead) for t in texts]
     bounds = np.cumsum([0, *map(len, units)])
     if not index:
         return [[(np.zeros(0, np.int64), 0.0, -math.log(-math.log(_uniform(s, 1, 99)[0])), 0.0)] for s in seeds]
@@ -345,7 +347,7 @@ _SCHEMA = ("doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob dou
            "log_inclusion double, round_trip boolean, ids array<int>")
 
 
-def _run(path: str, samples: int, alpha: float, with_ids: bool):
+def _run(path: str, samples: int, alpha: float, with_ids: bool, join_lead: bool = False):
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
@@ -357,7 +359,7 @@ def _run(path: str, samples: int, alpha: float, with_ids: bool):
                 while hi < len(texts) and n + len(texts[hi]) <= BATCH_CHARS:
                     n, hi = n + len(texts[hi]), hi + 1
                 cols = [[] for _ in range(9)]
-                for k, rows in enumerate(sample_texts(v, texts[lo:hi], seeds[lo:hi], samples, alpha), lo):
+                for k, rows in enumerate(sample_texts(v, texts[lo:hi], seeds[lo:hi], samples, alpha, join_lead), lo):
                     for s, (ids, logp, score, logi) in enumerate(rows):
                         crc = zlib.crc32(ids.astype("<u4").tobytes())
                         same = decode(v, ids.tolist()) == texts[k]
@@ -370,7 +372,8 @@ def _run(path: str, samples: int, alpha: float, with_ids: bool):
     return run
 
 
-def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True) -> DataFrame:
+def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True,
+                  join_lead: bool = False) -> DataFrame:
     """``samples`` distinct segmentations of each text, best perturbed score first.
 
     Output per row and sample: doc_id, sample, n_pieces, ids_crc32, log_prob,
@@ -378,14 +381,15 @@ def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: fl
     (null without ``with_ids``).  A null or empty text has one empty segmentation;
     a text with fewer segmentations than ``samples`` gives them all.  The seed is a
     hash of id and text, so equal rows give equal samples.  Other columns are ignored.
+    ``join_lead`` draws from all segmentations of a text that begins with blanks.
     """
     rows = keyed(docs).select("id", "text", F.xxhash64("id", "rid").alias("seed"))
-    return rows.mapInArrow(_run(model, samples, alpha, with_ids), _SCHEMA)
+    return rows.mapInArrow(_run(model, samples, alpha, with_ids, join_lead), _SCHEMA)
 
 
 def op6_piece_sampling(spark, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sample_pieces(table(spark, sf_dir, "documents"), model, with_ids=False).drop("ids")
+    return sample_pieces(table(spark, sf_dir, "documents"), model, with_ids=False, join_lead=True).drop("ids")
 
 
 QUERIES = {"op6_piece_sampling": op6_piece_sampling}

@@ -323,6 +323,24 @@ def test_pieces_of_long_units_and_blank_runs_are_exact():
     assert (b" a", b"   ", b" b") in runs and (b" a", b"  ", b"  ", b"b") in runs
 
 
+def test_pieces_join_the_blank_before_a_text_with_its_own():
+    v = piece_sampling.vocabulary(MODEL)
+    draw = lambda t: piece_sampling.sample_texts(v, [t], [5], 100, join_lead=True)[0]
+    seen = {t: {tuple(v.text[i] for i in r[0]) for r in draw(t)} for t in (" ", "  ", " a", "a")}
+    assert seen[" "] == {(b"  ",), (b" ", b" ")}
+    assert seen["  "] == {(b"   ",), (b"  ", b" "), (b" ", b"  "), (b" ", b" ", b" ")}
+    assert seen[" a"] == {(b" ", b" a"), (b"  ", b"a"), (b" ", b" ", b"a")} and seen["a"] == {(b" a",), (b" ", b"a")}
+    for t in seen:
+        assert abs(sum(math.exp(r[1]) for r in draw(t)) - 1) < 1e-9
+        assert all(piece_sampling.decode(v, r[0].tolist()) == t for r in draw(t))
+
+
+def test_query_draws_every_segmentation_of_leading_blanks(spark, tmp_path):
+    spark.createDataFrame([(1, " "), (2, "   x"), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = llm.queries()["op6_piece_sampling"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2, 2, 3] and all(r.round_trip for r in rows)
+
+
 def test_pieces_give_texts_back_in_any_batch():
     import sentencepiece
 
