@@ -33,6 +33,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from kgloom.llm.textscan import U, mix
 
 SAMPLES = 2
 ALPHA = 1.0              # exponent on the weights: 0 makes all segmentations equally likely
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000    # of the lattices that a worker holds at a time
 BLANK = "▁"         # fixed by the format: stands for a blank
 _LITERAL = "\ud800"      # the same character in a text; kept apart from a blank
 _ZIPF = 2.7
@@ -351,19 +352,20 @@ def _run(path: str, samples: int, alpha: float, with_ids: bool, join_lead: bool
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            doc, seeds = batch.column("id").to_pylist(), batch.column("seed").to_pylist()
+            column, doc, seeds = batch.column("text"), batch.column("id").to_pylist(), batch.column("seed").to_pylist()
+            size = [n or 0 for n in pc.utf8_length(column).to_pylist()]
             lo = 0
-            while lo < len(texts):
-                hi, n = lo + 1, len(texts[lo])
-                while hi < len(texts) and n + len(texts[hi]) <= BATCH_CHARS:
-                    n, hi = n + len(texts[hi]), hi + 1
+            while lo < len(size):
+                hi, n = lo + 1, size[lo]
+                while hi < len(size) and n + size[hi] <= BATCH_CHARS:
+                    n, hi = n + size[hi], hi + 1
+                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
                 cols = [[] for _ in range(9)]
-                for k, rows in enumerate(sample_texts(v, texts[lo:hi], seeds[lo:hi], samples, alpha, join_lead), lo):
+                for k, rows in enumerate(sample_texts(v, texts, seeds[lo:hi], samples, alpha, join_lead)):
                     for s, (ids, logp, score, logi) in enumerate(rows):
                         crc = zlib.crc32(ids.astype("<u4").tobytes())
                         same = decode(v, ids.tolist()) == texts[k]
-                        for c, x in zip(cols, (doc[k], s, len(ids), crc, logp, score, logi, same, ids.astype(np.int32) if with_ids else None)):
+                        for c, x in zip(cols, (doc[lo + k], s, len(ids), crc, logp, score, logi, same, ids.astype(np.int32) if with_ids else None)):
                             c.append(x)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.bool_(), pa.list_(pa.int32()))
                 names = [f.split()[0] for f in _SCHEMA.split(", ")]

@@ -341,6 +341,18 @@ def test_query_draws_every_segmentation_of_leading_blanks(spark, tmp_path):
     assert sorted(r.doc_id for r in rows) == [1, 1, 2, 2, 3] and all(r.round_trip for r in rows)
 
 
+def test_pieces_hold_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    held, sample = [], piece_sampling.sample_texts
+    monkeypatch.setattr(piece_sampling, "sample_texts", lambda v, texts, *rest: held.append(sum(map(len, texts))) or sample(v, texts, *rest))
+    texts = [None, "", *["the cat é " * 15_000] * 9, "the dog " * 100_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(12)), pa.array(range(12))], names=["text", "id", "seed"])
+    rows = pa.Table.from_batches(piece_sampling._run(MODEL, 1, 1.0, True)([batch])).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(12)) and all(r["round_trip"] for r in rows)
+    assert max(held[:-1]) <= 500_000 and held[-1] == len(texts[-1]) and sum(held) == sum(len(t or "") for t in texts)
+
+
 def test_pieces_give_texts_back_in_any_batch():
     import sentencepiece
 
