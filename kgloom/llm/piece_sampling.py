@@ -348,7 +348,7 @@ _SCHEMA = ("doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob dou
            "log_inclusion double, round_trip boolean, ids array<int>")
 
 
-def _run(path: str, samples: int, alpha: float, with_ids: bool, join_lead: bool = False):
+def _run(path: str, samples: int, alpha: float, with_ids: bool, join_lead: bool = False, batch_chars: int = BATCH_CHARS):
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
@@ -357,7 +357,7 @@ def _run(path: str, samples: int, alpha: float, with_ids: bool, join_lead: bool
             lo = 0
             while lo < len(size):
                 hi, n = lo + 1, size[lo]
-                while hi < len(size) and n + size[hi] <= BATCH_CHARS:
+                while hi < len(size) and n + size[hi] <= batch_chars:
                     n, hi = n + size[hi], hi + 1
                 texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
                 cols = [[] for _ in range(9)]
@@ -375,7 +375,7 @@ def _run(path: str, samples: int, alpha: float, with_ids: bool, join_lead: bool
 
 
 def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True,
-                  join_lead: bool = False) -> DataFrame:
+                  join_lead: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """``samples`` distinct segmentations of each text, best perturbed score first.
 
     Output per row and sample: doc_id, sample, n_pieces, ids_crc32, log_prob,
@@ -384,14 +384,15 @@ def sample_pieces(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: fl
     a text with fewer segmentations than ``samples`` gives them all.  The seed is a
     hash of id and text, so equal rows give equal samples.  Other columns are ignored.
     ``join_lead`` draws from all segmentations of a text that begins with blanks.
+    Lattices of ``batch_chars`` characters are held at a time: more take memory and save time.
     """
     rows = keyed(docs).select("id", "text", F.xxhash64("id", "rid").alias("seed"))
-    return rows.mapInArrow(_run(model, samples, alpha, with_ids, join_lead), _SCHEMA)
+    return rows.mapInArrow(_run(model, samples, alpha, with_ids, join_lead, batch_chars), _SCHEMA)
 
 
 def op6_piece_sampling(spark, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sample_pieces(table(spark, sf_dir, "documents"), model, with_ids=False, join_lead=True).drop("ids")
+    return sample_pieces(table(spark, sf_dir, "documents"), model, with_ids=False, join_lead=True, batch_chars=4_000_000).drop("ids")
 
 
 QUERIES = {"op6_piece_sampling": op6_piece_sampling}
