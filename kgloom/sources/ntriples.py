@@ -63,26 +63,34 @@ def escape_fault(text: Column, numeric_only: Column | bool = False) -> Column:
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``lines`` with subj, pred, obj, obj_kind, obj_lang and ``reason``: empty for a triple, ``idle`` for a blank or comment line."""
+    """``lines`` with subj, pred, obj, obj_kind, obj_lang and ``reason``: empty for a triple, ``idle`` for a blank or comment line.
+
+    ``reason`` passes a generator: a filter on it stays above, where it would otherwise
+    be pushed to the scan with every pattern written out each time it is used.
+    """
     def bare(term: Column) -> Column:
         return F.when(term.startswith("<"), F.substring(term, F.lit(2), F.length(term) - 2)).otherwise(term)
 
-    rest, masked = F.col("_rest"), F.col("_masked")
-    split = lines.withColumns({"_s": F.regexp_extract(line, _FRONT, 1), "_p": F.regexp_extract(line, _FRONT, 2),
-                               "_rest": F.regexp_extract(line, _FRONT, 3)})
-    split = split.withColumn("_masked", F.regexp_replace("_rest", r"(?s)\\.", MARKS))
-    node, quoted = F.regexp_extract(rest, _NODE, 1), masked.startswith('"')
+    rest, masked, front = F.col("_rest"), F.col("_masked"), F.col("_front")
+    # One match gives all parts: no part but the last can hold a line feed, so a line that fits is changed.
+    split = lines.withColumn("_front", F.regexp_replace(line, _FRONT, "$1\n$2\n$3"))
+    split = split.withColumn("_front", F.when(front != F.col(line), F.split(front, "\n", 3)).otherwise(F.array(F.lit(""), F.lit(""), F.lit(""))))
+    split = split.withColumns({"_s": front[0], "_p": front[1], "_rest": front[2]})
+    split = split.withColumn("_masked", F.when(rest.contains("\\"), F.regexp_replace("_rest", r"(?s)\\.", MARKS)).otherwise(rest))
+    quoted, marked = masked.startswith('"'), masked.contains('"@') | masked.contains('"^^')
+    split = split.withColumn("_node", F.when(quoted, "").otherwise(F.regexp_extract(rest, _NODE, 1)))
     cut = split.withColumns({
-        "_o": F.when(quoted, F.substring(rest, F.lit(2), F.locate('"', masked, 2) - 2)).otherwise(bare(node)),
-        "_type": F.when(quoted, F.regexp_extract(masked, _LITERAL, 2)).otherwise(""),
-        "_lang": F.when(quoted, F.regexp_extract(masked, _LITERAL, 1)).otherwise(""),
-        "_fits": (F.col("_s") != "") & (F.col("_p") != "") & F.when(quoted, masked.rlike(_LITERAL)).otherwise(node != ""),
+        "_o": F.when(quoted, F.substring(rest, F.lit(2), F.locate('"', masked, 2) - 2)).otherwise(bare(F.col("_node"))),
+        "_type": F.when(quoted & marked, F.regexp_extract(masked, _LITERAL, 2)).otherwise(""),
+        "_lang": F.when(quoted & marked, F.regexp_extract(masked, _LITERAL, 1)).otherwise(""),
+        "_fits": (F.col("_s") != "") & (F.col("_p") != "") & F.when(quoted, masked.rlike(_LITERAL)).otherwise(F.col("_node") != ""),
         "_s": bare(F.col("_s")), "_p": bare(F.col("_p")),
     })
     faults = [escape_fault(F.col(c), n) for c, n in (("_s", True), ("_p", True))] + [
         F.when(masked.startswith('"'), escape_fault(F.col("_o"))).otherwise(escape_fault(F.col("_o"), True))]
-    fault = F.coalesce(*[F.nullif(f, F.lit("")) for f in faults], F.lit(""))
-    judged = cut.withColumn("reason", F.when(F.col(line).rlike(_IDLE), "idle").when(~F.col("_fits"), "syntax").otherwise(fault))
+    fault = F.when(F.col(line).contains("\\"), F.coalesce(*[F.nullif(f, F.lit("")) for f in faults], F.lit(""))).otherwise("")
+    reason = F.when(F.col("_fits"), fault).when(F.col(line).rlike(_IDLE), "idle").otherwise("syntax")
+    judged = cut.select("*", F.inline(F.array(F.struct(reason.alias("reason")))))
     good = F.col("reason") == ""
     kind = F.when(masked.startswith('"'), F.when(F.col("_type") != "", "typed-literal").otherwise("literal")).when(
         F.col("_o").startswith("_:"), "bnode").otherwise("uri")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kgloom.operators import retrieval as g
 from kgloom.settings import FREEBASE
+from kgloom.sources import ntriples
 from kgloom.sources.ntriples import load_triples, parse_lines
 
 TRIPLE = "subj string, pred string, obj string, obj_kind string, obj_lang string"
@@ -150,6 +151,12 @@ def test_ntriples_lines(spark):
         assert got == LINES[r.value], r.value[:80]
 
 
+def test_ntriples_patterns_run_once_a_line(spark):
+    df = spark.createDataFrame([(t,) for t in LINES], "value string")
+    plan = parse_lines(df).where("reason = ''").select("subj")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(ntriples._FRONT[4:30]) == 1            # a filter on the outcome is not pushed to the scan
+
+
 def test_ntriples_load_loses_no_line(spark, tmp_path):
     ns = FREEBASE.entity_uri_prefixes[0]
     text = [f"<{ns}m.1> <{ns}a.b> <{ns}m.2> .", f"<{ns}m.1> <{ns}a.b> <{ns}m.2> .", f"<{ns}m.1> <{ns}> <{ns}m.2> .", "bad", "# idle", f'<{ns}m.1> <{ns}a.c> "{ns}m.2" .']
