@@ -122,6 +122,20 @@ def test_patterns_are_linear_and_open_to_the_pairs(spark, world):
     assert {r.node: r.n_links for r in found.node_links().collect()} == {x: k for x in topics if (k := sum(y == x for _, y in pairs))}
 
 
+def test_relations_after_chain_gather_no_last_sets(spark, monkeypatch):
+    """Paths that repeat an id are pooled at their roots; moves over 64 take a second block."""
+    graph = graph_of(spark, [("m.1", f"r.{i:03}", "m.2") for i in range(150)] + [("m.2", "up", "m.3")])
+    paths = spark.createDataFrame(
+        [("a", "m.1", []), ("a", "m.2", []), ("b", "m.1", [("r.007", True)]), ("c", "m.1", [("r.007", True), ("up", True)]), ("d", "m.3", [("r.007", True)])],
+        CHAIN)
+    named = []
+    monkeypatch.setattr(g, "named_sets", lambda reached, keys, old=g.named_sets: named.append(reached.count()) or old(reached, keys))
+    got = sorted((r.path_id, r.fwd, r.pred) for r in g.relations_after_chain(paths, graph, 2).collect())
+    ahead, back = [(True, f"r.{i:03}") for i in range(150)], [(False, f"r.{i:03}") for i in range(150)]
+    want = [("a", *m) for m in [*ahead, *back, (True, "up")]] + [("b", *m) for m in [*back, (True, "up")]] + [("c", False, "up")]
+    assert got == sorted(want) and named == [1]          # only the first hop of c, which goes on, names a set
+
+
 LINES = {
     '<s> <p> <o> .': ("s", "p", "o", "uri", ""),
     '\t<s>\t<p>\t<o>\t.\t# "comment" .': ("s", "p", "o", "uri", ""),
