@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kgloom.catalog import entities as ec
 from kgloom.catalog.ctes import with_ctes
 from kgloom.catalog.fixtures import TABLES, Fixture
 from kgloom.operators import entities as e
@@ -70,3 +71,27 @@ def test_graph_of_moves_holds_no_other_edges(spark):
     assert "edges" not in graph.__dict__            # derived when first read
     assert [tuple(r) for r in graph.edges.select("pred", "fwd").distinct().collect()] == [("geo.nation.region", True)]
     assert graph.hubs.count() == 0
+
+
+def test_branch_stats_are_one_aggregate(spark):
+    cand = spark.createDataFrame([("q", 1, "a", "x"), ("q", 1, "b", e.UNNAMED), ("q", 2, "c", e.UNNAMED)], "qid string, branch int, id string, name string")
+    marked = e.marked_sample(cand, 20, "7")
+    usage = cand.selectExpr("qid", "branch", "1 as input_tokens", "cast(null as int) as output_tokens")
+    out = e.branch_stats(cand, marked, marked.where("listed"), usage)
+    assert sorted(map(tuple, out.collect())) == [("q", 1, 2, 2, 1, 0, 0, "single entity"), ("q", 2, 1, 1, 1, 0, 0, "single entity")]
+    plain = e.branch_stats(cand, cand, cand, usage)
+    assert {r.input_tokens: r.output_tokens for r in plain.where("branch = 1").collect()} == {2: 0}
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_replies_and_scores_stay_in_the_buckets_of_their_branches(spark):
+    fx = Fixture(spark, SF)
+    shown, replies = ec.shown(fx), ec.replies(fx)
+    scored = e.score_shown(shown, replies)
+    assert scored.count() == shown.count() > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = e.score_shown(shown, replies)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan
