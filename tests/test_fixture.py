@@ -2,12 +2,15 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kgloom.catalog import entities as ec
+from kgloom.catalog import memory as mc
 from kgloom.catalog.ctes import with_ctes
 from kgloom.catalog.fixtures import TABLES, Fixture
 from kgloom.operators import entities as e
+from kgloom.operators import memory as p
 
 SF = "/root/testdata/sf0.001"
 SHIFTED = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
@@ -95,3 +98,10 @@ def test_replies_and_scores_stay_in_the_buckets_of_their_branches(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in plan
+
+
+def test_kept_provenance_is_selected_provenance(spark):
+    fx = Fixture(spark, SF)
+    order = F.when(F.col("rel") != "type.object.name", F.col("group_id") * 10 + F.length("id"))
+    made, once = mc.selected(fx), p.kept_provenance(mc.groups(fx), order).select(mc.selected(fx).columns)
+    assert made.exceptAll(once).isEmpty() and once.exceptAll(made).isEmpty() and not once.isEmpty()
