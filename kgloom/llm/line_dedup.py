@@ -9,14 +9,15 @@ Every line that has a word is compared, whatever its size.
    give one order of tokens from rare to frequent (ties: by hash).
 2. Lines with equal token sets form a class, stood for by its earliest line; all
    others go.
-3. Representatives are joined on their prefix: two sets of that similarity share
-   at least one of their first n - ceil(percent * n / 100) + 1 tokens.  Length and
-   positional bounds are part of the join condition, and so is a bound on the
-   overlap from 64 parity bits of each set (a differing bit needs a token that
-   only one set has).  Tokens of at most ``COMMON`` prefixes are joined with
-   themselves.  For the others each line first meets only the earliest line of
-   each token, and lines that go there need no other partner; then the rest
-   meets all.
+3. Representatives are joined on their prefix: the first token that two sets of
+   that similarity share is one of their first n - ceil(percent * n / 100) + 1, the
+   second one of one more.  A token of at most ``COMMON`` prefixes is a key by
+   itself; any other is a key with each later token of the longer prefix, so that
+   keys stay narrow as the input grows.  Length and positional bounds are part of
+   the join condition, and so is a bound on the overlap from 64 parity bits of each
+   set (a differing bit needs a token that only one set has).  Before the join on
+   two tokens each line meets only the earliest line of each common token, and
+   lines that go there need no other partner.
 4. Jaccard is computed on full token sets.
 
 Tokens are 64-bit names of words.  The class counts have a fixed size (1 MB), so
@@ -32,7 +33,7 @@ from kgloom.llm.common import keyed, native_words, small, staged, table
 from kgloom.llm.rarity import levels, possible, prefix_size, rare_first
 
 PERCENT = 85
-COMMON = 32                   # prefixes that hold a token before its lines meet the earliest one first
+COMMON = 256                  # prefixes that hold a token before it is a key only with a second token
 BROADCAST_ROWS = 200_000      # common tokens, or documents with candidate lines (an id and some line numbers each)
 _KEY = ["id", "line", "rid"]
 
@@ -60,14 +61,38 @@ def _apart():
     return F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
 
 
-def _possible(percent: int):
-    """x is the earlier line, and no bound rules the pair (x, y) out."""
+def _possible(percent: int, first: bool = False):
+    """x is the earlier line, and no bound rules the pair (x, y) out; ``first``: if the token is the first they share."""
     nx, ny = F.col("x.n"), F.col("y.n")
     overlap = 2 * percent * (nx + ny) <= (100 + percent) * (nx + ny - _apart())       # integers, the cheapest test first
     earlier = (F.col("x.id") < F.col("y.id")) | ((F.col("x.id") == F.col("y.id")) & (F.col("x.line") < F.col("y.line")))
+    if first:
+        left = F.least(nx - F.col("x.at"), ny - F.col("y.at"))      # all that they share stands here or behind
+        overlap = overlap & (percent * (nx + ny) <= (100 + percent) * left)
     return overlap & earlier & possible(nx, F.col("x.at"), ny, F.col("y.at"), percent)
 
 
+def _opened(common: DataFrame, percent: int) -> DataFrame:
+    """Entries of common tokens with the key of each later token, and the tokens ``before`` that are not in the key.
+
+    A set that one shared token suffices for has its token alone, too.
+    """
+    token = F.col("token").cast("long")
+    keys = F.transform("later", lambda t, i: F.struct(
+        F.shiftleft(token, 31).bitwiseOR(t.cast("long")).alias("key"),
+        F.concat(F.slice("prefix", F.lit(1), F.col("at")), F.slice("later", F.lit(1), i)).alias("before")))
+    alone = F.array(F.struct((-1 - token).alias("key"), F.slice("prefix", F.lit(1), F.col("at")).alias("before")))
+    keys = F.when(percent * F.col("n") <= 100, F.concat(keys, alone)).otherwise(keys)
+    return common.select("id", "line", "n", "bits", "at", F.explode(keys).alias("k")).select("id", "line", "n", "bits", "at", "k.*")
+
+
+def _on_two_tokens(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of common tokens that share a key and no token before it, so a pair meets once."""
+    once = ~F.arrays_overlap("x.before", "y.before")
+    return _opened(x, percent).alias("x").join(_opened(y, percent).alias("y"), "key").where(
+        _possible(percent, first=True) & once).select(*_pair())
+
+
 def _pair():
     return [F.col("x.id").alias("xd"), F.col("x.line").alias("xl"), F.col("y.id").alias("yd"), F.col("y.line").alias("yl")]
 
@@ -96,11 +121,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, rid, line) of every line that goes."""
     rows = keyed(docs).where("id is not null and text is not null")
     words = rows.select(F.explode(native_words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("name"))
-    lines = _lines(rows).withColumn("t", _tokens(F.col("part"))).where(F.size("t") > 0).select(*_KEY, "t")
+    # The test for a word is not made on the tokens: Spark would move it below them and make them twice.
+    lines = _lines(rows).where(F.ltrim("part", F.lit(" \t\n\x0b\f\r")) != "").select(*_KEY, _tokens(F.col("part")).alias("t"))
     lines = rare_first(lines, "t", levels(words)).withColumn("n", F.size("t"))
-    # Joins of prefixes use 31 bits of a token: a clash can only add a candidate.
-    prefix = F.slice("t", F.lit(1), prefix_size(F.col("n"), percent, 1))
-    short = F.transform(prefix, lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
+    # Joins of prefixes use a token's rank and 24 bits of its name: a clash can only add a candidate, and the order stays.
+    prefix = F.slice("t", F.lit(1), prefix_size(F.col("n"), percent, 2))
+    short = F.transform(prefix, lambda t: F.shiftright(t, 32).cast("int"))
     # A class of equal sets is named by a hash, the parity bits and the size.
     lines = staged(lines.select(*_KEY, "n", F.xxhash64("t").alias("f"), _parity(F.col("t")).alias("bits"), short.alias("prefix")), "lines")
     same = ["f", "bits", "n"]
@@ -112,10 +138,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # One token more or less is already too far for a small set: only its class counts.
     first = first.where(100 * F.col("n") >= percent * (F.col("n") + 1))
     # A document and a line number address a line; rows that repeat an id are told apart in _verified.
-    entry = first.select("id", "line", "n", "bits", F.posexplode("prefix").alias("at", "token"))
-    often = first.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    firsts = F.slice("prefix", F.lit(1), prefix_size(F.col("n"), percent, 1))
+    entry = first.select("id", "line", "n", "bits", "prefix", F.posexplode(firsts).alias("at", "token"))
+    often = first.select(F.explode(firsts).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     often = small(staged(often.where(F.col("c") > COMMON).select("token"), "common_tokens"), BROADCAST_ROWS)
-    few, common = entry.join(often, "token", "leftanti"), staged(entry.join(often, "token", "leftsemi"), "common_entries")
+    few = entry.drop("prefix").join(often, "token", "leftanti")
+    later = F.slice("prefix", F.col("at") + 2, F.size("prefix")).alias("later")
+    common = staged(entry.join(often, "token", "leftsemi").select("*", later), "common_entries")
     lead = common.groupBy("token").agg(F.min(F.struct("id", "line", "n", "bits", "at")).alias("x"))
     lead = lead.select("token", "x.*")
     pairs = (
@@ -125,9 +154,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = staged(pairs.select("p.xd", "p.xl", "p.yd", "p.yl"), "leader_pairs")
     gone = staged(_verified(pairs, rows, percent), "gone_lines")
     left = common.join(gone.select("id", "line").distinct(), ["id", "line"], "leftanti")
-    rest = few.alias("x").join(few.alias("y"), "token").where(_possible(percent)).select(*_pair())
-    rest = rest.unionByName(common.alias("x").join(left.alias("y"), "token").where(_possible(percent)).select(*_pair()))
-    rest = rest.distinct().join(pairs, ["xd", "xl", "yd", "yl"], "leftanti")
+    rest = few.alias("x").join(few.alias("y"), "token").where(_possible(percent, first=True)).select(*_pair())
+    rest = rest.unionByName(_on_two_tokens(common, left, percent)).distinct().join(pairs, ["xd", "xl", "yd", "yl"], "leftanti")
     more = _verified(staged(rest, "last_pairs"), rows, percent)
     return copies.unionByName(gone).unionByName(more).distinct()
 
@@ -163,7 +191,9 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (comma-joined, from 0)."""
     docs = table(spark, sf_dir, "documents")
     gone = removed_lines(docs).groupBy("id", "rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    sizes = keyed(docs).select("id", "rid", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n"))
+    text = F.coalesce("text", F.lit(""))
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n")))
+    sizes = keyed(docs).select("id", "rid", (breaks + 1).alias("n"))
     return sizes.join(gone, ["id", "rid"], "left").select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),

@@ -160,6 +160,39 @@ def test_line_dedup_of_short_lines_by_brute_force(spark, percent):
     assert {1, 2, 3, 4} <= sizes
 
 
+@pytest.mark.parametrize("percent", [50, 85])
+def test_line_dedup_on_two_tokens_by_brute_force(spark, monkeypatch, percent):
+    """Every token is common: pairs that share one token only, and sets that share many, meet by their keys."""
+    monkeypatch.setattr(line_dedup, "COMMON", 0)
+    rng = random.Random(percent)
+    docs = [(k, " ".join(rng.sample([f"v{i}" for i in range(24)], rng.choice([1, 2, 2, 3, 20, 21])))) for k in range(90)]
+    got = {r.id for r in line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect()}
+    sets = [set(text.split()) for _, text in docs]
+    want = {k for k, s in enumerate(sets) if any(100 * len(s & e) >= percent * len(s | e) for e in sets[:k])}
+    assert want and got == want
+
+
+def test_lines_of_a_common_token_meet_once_on_two_tokens(spark):
+    """Lines with one token in common never meet; two that share many meet on one key."""
+    rows = [(k, 0, 20, 0, 0, 7, [7, 1000 + k, 2000 + k], [1000 + k, 2000 + k]) for k in range(50)]
+    alike = [(100 + k, 0, 20, 0, at, t, [7, 8, 9, 10], [7, 8, 9, 10][at + 1:]) for k in range(2) for at, t in enumerate([7, 8, 9])]
+    entries = spark.createDataFrame(rows + alike, "id long, line int, n int, bits long, at int, token int, prefix array<int>, later array<int>")
+    pairs = line_dedup._on_two_tokens(entries, entries, 85).collect()
+    assert [(r.xd, r.yd) for r in pairs] == [(100, 101)]
+
+
+def test_lines_are_cut_into_tokens_once(spark, monkeypatch):
+    plans, write = {}, line_dedup.staged
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", planned)
+    line_dedup.removed_lines(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string"))
+    assert plans["lines"].count("array_distinct") == 1
+
+
 def test_minhash_by_brute_force(spark):
     rng = random.Random(9)
     docs, base = [], [[f"{c}{rng.randrange(500)}" for _ in range(120)] for c in "abc"]
