@@ -117,8 +117,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, rid, line) of every line that goes."""
+def _removed(docs: DataFrame, percent: int) -> DataFrame:
+    """(id, rid, line) of every line that goes; rows may repeat."""
     rows = keyed(docs).where("id is not null and text is not null")
     words = rows.select(F.explode(native_words(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("name"))
     # The test for a word is not made on the tokens: Spark would move it below them and make them twice.
@@ -157,12 +157,17 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = few.alias("x").join(few.alias("y"), "token").where(_possible(percent, first=True)).select(*_pair())
     rest = rest.unionByName(_on_two_tokens(common, left, percent)).distinct().join(pairs, ["xd", "xl", "yd", "yl"], "leftanti")
     more = _verified(staged(rest, "last_pairs"), rows, percent)
-    return copies.unionByName(gone).unionByName(more).distinct()
+    return copies.unionByName(gone).unionByName(more)
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, rid, line) of every line that goes."""
+    return _removed(docs, percent).distinct()
 
 
 def _with_gone(docs: DataFrame, percent: int) -> DataFrame:
     """``docs`` with the array ``_l_gone`` of line numbers that go (null: none)."""
-    gone = removed_lines(docs, percent).groupBy(F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid")).agg(
+    gone = _removed(docs, percent).groupBy(F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid")).agg(
         F.sort_array(F.collect_set("line")).alias("_l_gone"))            # of one document
     return docs.join(
         gone, (F.col("doc_id").cast("long") == F.col("_l_id"))
@@ -190,7 +195,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (comma-joined, from 0)."""
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs).groupBy("id", "rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = _removed(docs, PERCENT).groupBy("id", "rid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     text = F.coalesce("text", F.lit(""))
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n")))
     sizes = keyed(docs).select("id", "rid", (breaks + 1).alias("n"))
