@@ -4,18 +4,20 @@ Two codebooks, one for each half of the dimensions, are fitted on a sample of at
 most ``SAMPLE`` rows; every row goes to the cell of its two nearest codewords.  A
 codeword's radius is its largest distance over all rows, so q.c + |q| r bounds the
 half score of whatever lies there, and the sum of two such bounds bounds a cell.
-For each anchor a heap walks the two sorted lists of half bounds and yields cells
-by falling bound (multi-sequence).  A search has two rounds: the first visits cells
+For each anchor cells are visited by falling bound (multi-sequence).  A search has two rounds: the first visits cells
 until they hold ``PROBE_ROWS`` rows; the k-th best score found in a window of
 scores is then its threshold (its lower end where fewer are found), and the second
 round goes on to the first cell whose bound is below every window's threshold.
 All rows that could still count have then been scored: results are exact.
 
-Cells are split into blocks of about ``BLOCK_ROWS`` rows by a hash, anchors into
-groups of about ``GROUP_ANCHORS``, and a group of rows is scored against a group of
-anchors in one task by a matrix product, so neither a crowded cell nor many anchors
-meet in one place.  The directory (codewords, radii, rows of each cell) is the only
-thing that every task gets; it holds at most MOST_CODES squared numbers.
+Neighbouring cells share a shelf of about ``BLOCK_ROWS`` rows (up to ``SHELF_ROWS``
+on large tables); a larger cell is dealt over shelves of its own by a hash.  Anchors
+are dealt into groups of about ``GROUP_ANCHORS``, and a shelf is scored against a
+group in one task, cell by cell, so neither a crowded cell nor many anchors meet in
+one place.  An anchor goes to a shelf once, with the list of its cells there; lists
+are made and scores are taken in pieces of bounded size.  The directory (codewords,
+radii, rows of each cell) is the only thing that every task gets; it holds at most
+MOST_CODES squared numbers.
 
 Defined results: rows with a null id, label, vector or component, or one that is not
 finite, take no part; components beyond +-65,536 count as that, and components that
@@ -25,10 +27,10 @@ never partners of an anchor of that id; equal anchor rows are searched once.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,16 @@ LOW, HIGH = 30, 90              # per cent of the positive's score
 SAMPLE = 8192
 CELL_ROWS = 512                 # rows of a cell on average, while codebooks are below their bound
 MOST_CODES = 128
-BLOCK_ROWS, GROUP_ANCHORS = 1024, 4096
+BLOCK_ROWS, GROUP_ANCHORS = 1024, 65_536
+SHELF_ROWS, SHELVES = 65_536, 256
+PIECE_VISITS, PIECE_PAIRS = 8192, 1 << 21      # visits of a batch, scores of a matrix
 PROBE_ROWS = 4096
 _MOST = 65_536 * SCALE
 _FAR = 1 << 62
 VECTORS = "part int, nth long, vec_id long, label long, anchor boolean, v binary"
 CELLS = VECTORS + ", a int, b int, da double, db double"
-VISITS = "vec_id long, same_as long, label long, v binary, windows array<struct<w:int,lo:long,hi:long>>, a int, b int, block long, grp long"
-_VISIT = ["vec_id", "same_as", "label", "v", "windows", "a", "b", "block", "grp"]
+VISITS = "vec_id long, same_as long, label long, v binary, windows array<struct<w:int,lo:long,hi:long>>, grp long, shelf long, cells array<int>"
+_VISIT = [c.split()[0] for c in VISITS.split(", ")]
 FOUND = "vec_id long, same_as long, w int, other long, score long"
 
 
@@ -128,40 +132,49 @@ class Directory:
     def dim(self) -> int:
         return self.half + self.codes[1].shape[1]
 
-    def blocks(self, a: int, b: int) -> int:
-        return -(-int(self.rows[a, b]) // self.block_rows)
-
-    def walk(self, q: np.ndarray) -> Iterator[tuple[float, float, int, int]]:
-        """(upper bound, lower bound, a, b) of all cells with rows, by falling upper bound."""
+    @cached_property
+    def shelves(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each cell (a * codes + b): its first shelf, and the number of shelves its rows are dealt over."""
+        sizes = self.rows.ravel().tolist()
+        first, blocks, at, held = [], [], 0, 0
+        for n in sizes:
+            own = max(1, -(-n // self.block_rows))
+            if held and held + n > self.block_rows:
+                at, held = at + 1, 0
+            first.append(at)
+            blocks.append(own)
+            at, held = (at + own, 0) if own > 1 else (at, held + n)
+        return np.array(first, np.int64), np.array(blocks, np.int64)
+
+    def ranked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Upper bounds, lower bounds and numbers of all cells with rows, by falling upper bound."""
         up, low = [], []
         for part, c, r in zip((q[:self.half], q[self.half:]), self.codes, self.radii):
             at, reach = c @ part, np.linalg.norm(part) * r
             slack = 1e-9 * (np.abs(at) + reach) + 1e-6         # rounding must not cut a cell
             up.append(at + reach + slack)
             low.append(at - reach - slack)
-        order = [np.argsort(-u, kind="stable") for u in up]
-        first, second = up[0][order[0]].tolist(), up[1][order[1]].tolist()
-        heap, pushed = [(-(first[0] + second[0]), 0, 0)], {(0, 0)}
-        while heap:
-            bound, i, j = heapq.heappop(heap)
-            a, b = int(order[0][i]), int(order[1][j])
-            if self.rows[a, b]:
-                yield -bound, float(low[0][a] + low[1][b]), a, b
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(first) and y < len(second) and (x, y) not in pushed:
-                    pushed.add((x, y))
-                    heapq.heappush(heap, (-(first[x] + second[y]), x, y))
+        upper, lower = (np.add.outer(*x).ravel() for x in (up, low))
+        cells = np.flatnonzero(self.rows.ravel())
+        cells = cells[np.argsort(-upper[cells], kind="stable")]
+        return upper[cells], lower[cells], cells
 
-    def visits(self, q: np.ndarray, windows: list[tuple[int, int]], probe: bool) -> Iterator[tuple[int, int]]:
+    def walk(self, q: np.ndarray) -> Iterator[tuple[float, float, int, int]]:
+        """(upper bound, lower bound, a, b) of all cells with rows, by falling upper bound."""
+        upper, lower, cells = self.ranked(q)
+        yield from zip(upper.tolist(), lower.tolist(), *(x.tolist() for x in np.unravel_index(cells, self.rows.shape)))
+
+    def visited(self, q: np.ndarray, windows: list[tuple[int, int]], probe: bool) -> np.ndarray:
         """Cells of the first round, or those of the second: until every window is certified."""
-        seen, need, high = 0, min((lo for lo, _ in windows), default=_FAR), max((hi for _, hi in windows), default=-_FAR)
-        for upper, lower, a, b in self.walk(q):
-            first = seen < self.probe_rows
-            seen += int(self.rows[a, b])
-            if upper < need or (probe and not first):
-                return
-            if first == probe and lower <= high:
-                yield a, b
+        need, high = min((lo for lo, _ in windows), default=_FAR), max((hi for _, hi in windows), default=-_FAR)
+        upper, lower, cells = self.ranked(q)
+        held = self.rows.ravel()[cells]
+        first = np.cumsum(held) - held < self.probe_rows
+        return cells[(upper >= need) & (first == probe) & (lower <= high)]
+
+    def visits(self, q: np.ndarray, windows: list[tuple[int, int]], probe: bool) -> Iterator[tuple[int, int]]:
+        for cell in self.visited(q, windows, probe).tolist():
+            yield divmod(cell, self.rows.shape[1])
 
 
 def build_index(rows: DataFrame) -> tuple[DataFrame, Directory]:
@@ -188,48 +201,110 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, Directory]:
     for r in cells.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("da").alias("da"), F.max("db").alias("db")).collect():
         counts[r.a, r.b] = r.n
         radii[0][r.a], radii[1][r.b] = max(radii[0][r.a], r.da), max(radii[1][r.b], r.db)
-    return cells, Directory(codes, radii, counts, BLOCK_ROWS, PROBE_ROWS)
+    block_rows = max(BLOCK_ROWS, min(SHELF_ROWS, -(-n // SHELVES)))
+    return cells, Directory(codes, radii, counts, block_rows, PROBE_ROWS)
 
 
 def _visits(directory: Directory, probe: bool):
+    first, blocks = directory.shelves
+
+    def made(batch, take, shelf, sizes, cells):
+        own = batch.take(pa.array(take, pa.int64()))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [*(own.column(c) for c in _VISIT[:6]), pa.array(np.concatenate(shelf), pa.int64()),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cells).astype(np.int32)))], names=_VISIT)
+
     def run(batches):
         for batch in batches:
-            q, take, out = matrix(batch.column("v"), directory.dim), [], []
+            q, take, shelf, sizes, cells = matrix(batch.column("v"), directory.dim), [], [], [], []
             for k, windows in enumerate(batch.column("windows").to_pylist()):
-                for a, b in directory.visits(q[k], [(w["lo"], w["hi"]) for w in windows], probe):
-                    for block in range(directory.blocks(a, b)):
-                        take.append(k)
-                        out.append((a, b, block))
-            a, b, block = zip(*out) if out else ((), (), ())
-            own = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*(own.column(c) for c in _VISIT[:5]), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(block, pa.int64()),
-                 own.column("grp")], names=_VISIT)
+                seen = np.sort(directory.visited(q[k], [(w["lo"], w["hi"]) for w in windows], probe))
+                many = np.repeat(seen, blocks[seen])
+                if not len(many):
+                    continue
+                nth = np.arange(len(many)) - np.repeat(np.cumsum(blocks[seen]) - blocks[seen], blocks[seen])
+                found, n = np.unique(first[many] + nth, return_counts=True)      # rising already: cells of a shelf stay together
+                take += [k] * len(found)
+                for listed, values in zip((shelf, sizes, cells), (found, n, many)):
+                    listed.append(values)
+                if len(take) >= PIECE_VISITS:
+                    yield made(batch, take, shelf, sizes, cells)
+                    take, shelf, sizes, cells = [], [], [], []
+            if take:
+                yield made(batch, take, shelf, sizes, cells)
     return run
 
 
+def _windows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, lower and upper ends of each row's windows, side by side; no score lies in a missing one."""
+    listed = column.combine_chunks()
+    n = np.array(listed.value_lengths())
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out = []
+    for values, none in zip(listed.flatten().flatten(), (0, _FAR, -_FAR)):
+        filled = np.full((len(n), max(1, n.max(initial=0))), none, np.int64)
+        filled[row, at] = np.array(values)
+        out.append(filled)
+    return tuple(out)
+
+
+def _firsts(k: int, anchor: np.ndarray, nth: np.ndarray, other: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first ``k`` rows of each anchor's window, by score, then id."""
+    order = np.lexsort((other, -score, nth, anchor))
+    anchor, nth, other, score = anchor[order], nth[order], other[order], score[order]
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (nth[1:] != nth[:-1])
+    begins = np.flatnonzero(new)
+    kept = np.arange(len(anchor)) - np.repeat(begins, np.diff(np.append(begins, len(anchor)))) < k
+    return anchor[kept], nth[kept], other[kept], score[kept]
+
+
 def _scored(dim: int, same: bool, k: int):
     names = [c.split()[0] for c in FOUND.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in names]
-        if len(left) and len(right):
-            ids, labels = np.array(left["vec_id"]), np.array(left["label"])
-            x, q = matrix(left["v"], dim), matrix(right["v"], dim)
-            if dim * np.abs(x).max(initial=0) * np.abs(q).max(initial=0) < 2 ** 53:
-                s = (q @ x.T).astype(np.int64)
-            else:
-                s = q.astype(np.int64) @ x.T.astype(np.int64)
-            for row, anchor, key, label, windows in zip(s, *(right[c].to_pylist() for c in ("vec_id", "same_as", "label", "windows"))):
-                able = ((labels == label) == same) & (ids != anchor)
-                for w in windows:
-                    at = np.flatnonzero(able & (row >= w["lo"]) & (row <= w["hi"]))
-                    if len(at) > k:
-                        at = at[np.lexsort((ids[at], -row[at]))[:k]]
-                    for col, values in zip(out, ([anchor] * len(at), [key] * len(at), [w["w"]] * len(at), ids[at].tolist(), row[at].tolist())):
-                        col.extend(values)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+        if not len(left) or not len(right):
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
+        left = left.sort_by("cell")
+        ids, labels, x = np.array(left["vec_id"]), np.array(left["label"]), matrix(left["v"], dim)
+        own, key, label, q = np.array(right["vec_id"]), np.array(right["same_as"]), np.array(right["label"]), matrix(right["v"], dim)
+        w, lo, hi = _windows(right["windows"])
+        least, most = lo.min(axis=1), hi.max(axis=1)
+        exact = dim * np.abs(x).max(initial=0) * np.abs(q).max(initial=0) < 2 ** 53
+        if not exact:
+            x, q = x.astype(np.int64), q.astype(np.int64)
+        asked = right["cells"].combine_chunks()
+        asker, asked = np.repeat(np.arange(len(right)), np.array(asked.value_lengths())), np.array(asked.flatten())
+        order = np.argsort(asked, kind="stable")
+        asker, asked = asker[order], asked[order]
+        cells, begins, sizes = np.unique(np.array(left["cell"]), return_index=True, return_counts=True)
+        best = tuple(np.zeros(0, np.int64) for _ in range(4))
+        pending, held = [], 0
+        for cell, begin, size in zip(cells, begins, sizes):
+            anchors = asker[np.searchsorted(asked, cell):np.searchsorted(asked, cell, "right")]
+            rows, step = slice(begin, begin + size), max(1, PIECE_PAIRS // size)
+            for at in range(0, len(anchors), step):
+                a = anchors[at:at + step]
+                s = (q[a] @ x[rows].T).astype(np.int64, copy=False)
+                able = (s >= least[a, None]) & (s <= most[a, None])
+                able &= (label[a, None] == labels[None, rows]) == same
+                able &= own[a, None] != ids[None, rows]
+                i, j = np.nonzero(able)
+                anchor, other, score = a[i], ids[rows][j], s[i, j]
+                for nth in range(w.shape[1]):
+                    inside = (score >= lo[anchor, nth]) & (score <= hi[anchor, nth])
+                    found = _firsts(k, anchor[inside], np.full(int(inside.sum()), nth), other[inside], score[inside])
+                    pending.append(found)
+                    held += len(found[0])
+                if held > PIECE_PAIRS:
+                    best = _firsts(k, *(np.concatenate(c) for c in zip(best, *pending)))
+                    pending, held = [], 0
+        anchor, nth, other, score = _firsts(k, *(np.concatenate(c) for c in zip(best, *pending)))
+        columns = own[anchor], key[anchor], w[anchor, nth], other, score
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
     return run
 
 
@@ -241,16 +316,18 @@ def search(cells: DataFrame, directory: Directory, requests: DataFrame, same: bo
     """
     spark = cells.sparkSession
     groups = max(1, -(-requests.count() // GROUP_ANCHORS))
-    sizes = [(a, b, directory.blocks(a, b)) for a, b in np.argwhere(directory.rows).tolist()]
-    blocks = F.broadcast(spark.createDataFrame(sizes, "a int, b int, blocks long"))        # a row for each cell
+    width = directory.rows.shape[1]
+    firsts, dealt = directory.shelves
+    sizes = [(a, b, a * width + b, int(firsts[a * width + b]), int(dealt[a * width + b])) for a, b in np.argwhere(directory.rows).tolist()]
+    shelves = F.broadcast(spark.createDataFrame(sizes, "a int, b int, cell int, first long, blocks long"))        # a row for each cell
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp")
-    rows = cells.join(blocks, ["a", "b"]).select(
-        "a", "b", F.pmod(F.xxhash64("part", "nth"), "blocks").alias("block"), spread, "vec_id", "label", "v")
-    keys = ["a", "b", "block", "grp"]
+    rows = cells.join(shelves, ["a", "b"]).select(
+        "cell", (F.col("first") + F.pmod(F.xxhash64("part", "nth"), "blocks")).alias("shelf"), spread, "vec_id", "label", "v")
+    keys = ["shelf", "grp"]
     asked = requests.withColumn("grp", F.pmod(F.xxhash64("vec_id", "same_as"), F.lit(groups).cast("long")))
 
     def found(asks: DataFrame, probe: bool) -> DataFrame:
-        visits = asks.mapInArrow(_visits(directory, probe), VISITS)
+        visits = asks.select(*_VISIT[:6]).mapInArrow(_visits(directory, probe), VISITS)
         out = rows.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_scored(directory.dim, same, k), FOUND)
         return staged(top_per_group(out, ["vec_id", "same_as", "w"], [F.desc("score"), F.asc("other")], k), "found")
 

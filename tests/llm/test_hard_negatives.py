@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,25 @@ def test_second_round_stops_where_no_cell_can_count():
     for a, b in later:
         seen |= (near[0] == a) & (near[1] == b)
     assert scores[~seen].max() < np.sort(scores)[-5]
+
+
+def test_visits_come_in_pieces_and_once_a_shelf():
+    """Many anchors times many cells are never one batch, and a vector is sent once to the cells of a shelf."""
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(0, 100, (600, 8)))
+    codes = hn.codebook(x[:, :4], 32), hn.codebook(x[:, 4:], 32)
+    held = np.full((len(codes[0]), len(codes[1])), 100)
+    held[3, 3], held[0, 1] = 2500, 0
+    directory = hn.Directory(codes, (np.full(len(codes[0]), 1e4), np.full(len(codes[1]), 1e4)), held, 1000, 0)
+    whole = pa.array([[{"w": 0, "lo": -hn._FAR, "hi": hn._FAR}]] * len(x), pa.list_(pa.struct([("w", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])))
+    n = pa.array(range(len(x)), pa.int64())
+    batch = pa.RecordBatch.from_arrays(
+        [n, n, n, pa.array([v.astype("<i4").tobytes() for v in x], pa.binary()), whole, n], names=["vec_id", "same_as", "label", "v", "windows", "grp"])
+    pieces = list(hn._visits(directory, False)([batch]))
+    rows = [r for p in pieces for r in zip(p.column("vec_id").to_pylist(), p.column("shelf").to_pylist(), p.column("cells").to_pylist())]
+    assert max(p.num_rows for p in pieces) < 2 * hn.PIECE_VISITS and len(pieces) > 1
+    assert len(rows) == len({r[:2] for r in rows}) < len(x) * np.count_nonzero(held) / 8
+    crowd = 3 * held.shape[1] + 3
+    sent = [(i, c) for i, _, cells in rows for c in cells]
+    assert sorted(set(sent)) == [(i, c) for i in range(len(x)) for c in np.flatnonzero(held.ravel()).tolist()]
+    assert len(sent) == len(set(sent)) + 2 * len(x) and sum(c == crowd for _, c in sent) == 3 * len(x)
