@@ -29,3 +29,25 @@ def test_links_equal_all_pairs(spark, part_rows):
     got = answer_links(spark.createDataFrame(said, SIDE), spark.createDataFrame(gold, SIDE), part_rows)
     assert {(r.id, r.is_gold, r.key): r.n_links for r in got.collect()} == dict(want)
     assert answer_links(spark.createDataFrame([], SIDE), spark.createDataFrame(gold, SIDE)).where("n_links > 0").count() == 0
+
+
+def test_short_lists_share_a_call(spark, monkeypatch):
+    """Many questions are one group; all of them, and a long list among them, keep their links."""
+    from kgloom.reports import matching
+
+    sizes = spark.sparkContext.accumulator(0)
+    calls = spark.sparkContext.accumulator(0)
+    linked = matching._linked
+
+    def counted(left, right):
+        calls.add(1)
+        sizes.add(len(left))
+        return linked(left, right)
+
+    monkeypatch.setattr(matching, "_linked", counted)
+    ids = [(f"q{k}", "k", f"name {k}") for k in range(3000)]
+    long = [("long", f"k{k}", f"item {k:03d}") for k in range(90)]
+    got = answer_links(spark.createDataFrame(ids + long, SIDE), spark.createDataFrame(ids + long, SIDE), 2000)
+    rows = got.collect()
+    assert len(rows) == 2 * 3090 and {r.n_links for r in rows} == {1}
+    assert sizes.value == 3090 and calls.value <= 8
